@@ -4,21 +4,85 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.llm import leakage, mixing, overlap, packing, splitting, tokens
 from millrace.llm import near_duplicates as nd
+from millrace.llm.oracles import ORACLES
+from millrace.shipping import shipped
 from millrace.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Near duplicates by TESTDATA.md: three words, an overlap of one half.
 NEAR = {"size": 3, "threshold": 0.5}
+MISSING = "(missing)"
+
+
+def _documents(spark: SparkSession, sf_dir: str, *others: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", *others)
+
+
+def _evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "eval_row").select(F.col("eval_id").alias("id"), F.col("problem").alias("text"))
+
+
+def _cap(spark: SparkSession, sf_dir: str, job: str) -> tuple[int, int]:
+    row = table(spark, sf_dir, "size_cap").where(F.lower(F.trim("job")) == job).select("capacity", "overlap").first()
+    return row.capacity, row.overlap
+
+
+def cleaned(column: Column) -> Column:
+    """A spelling without case and outer white space, with a group of its own for missing values."""
+    key = mixing.clean_key(column)
+    return F.when(key.isNull() | (key == ""), F.lit(MISSING)).otherwise(key)
+
+
+def language(column: Column) -> Column:
+    """The primary part of a language tag; null, blank and `und` are missing."""
+    tag = F.split(cleaned(column), "[-_]")[0]
+    return F.when(tag == "und", F.lit(MISSING)).otherwise(tag)
+
+
+def domain(meta: Column) -> Column:
+    """The `domain` of a stringified dict, also of a broken one that still holds it."""
+    return cleaned(F.regexp_extract(meta, r"""['"]domain['"]\s*:\s*['"]([^'"]*)['"]""", 1))
+
+
+def _grpo_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    problems = table(spark, sf_dir, "grpo").select(F.col("problem_id").alias("id"), F.col("problem").alias("text"))
+    return overlap.overlaps(_evaluation(spark, sf_dir), problems)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _grpo_overlaps(spark, sf_dir).select(F.col("query_id").alias("eval_id"), F.col("id").alias("problem_id"))
+
+
+def p1_split_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    split = table(spark, sf_dir, "eval_row").select(F.col("eval_id").alias("query_id"), cleaned(F.col("split")).alias("split")).dropDuplicates(["query_id"])
+    source = table(spark, sf_dir, "grpo").groupBy(F.col("problem_id").alias("id")).agg(F.min(cleaned(F.col("source"))).alias("source"))
+    found = _grpo_overlaps(spark, sf_dir).join(split, "query_id").join(source, "id")
+    return found.groupBy("split", "source").agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.countDistinct("query_id").alias("n_eval"), F.countDistinct("id").alias("n_problems"), F.avg("coverage").alias("mean_coverage")
+    )
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity, shared = _cap(spark, sf_dir, "split")
+    spans = splitting.piece_spans(_documents(spark, sf_dir), capacity, shared).where("piece_no = 0")
+    kind = F.when(F.col("longest_run") > capacity, "forced").otherwise("natural")
+    return spans.select(F.col("id").alias("doc_id"), kind.alias("cut_kind"))
+
+
+def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity, shared = _cap(spark, sf_dir, "split")
+    return splitting.split_texts(_documents(spark, sf_dir), capacity, shared).select(F.col("id").alias("doc_id"), "piece_no", "start", "stop", "ends", "text")
 
 
 def _records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
-        "documents": table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"),
+        "documents": _documents(spark, sf_dir),
         "sft": table(spark, sf_dir, "sft").select(F.col("sft_id").alias("id"), nd.chat_text(F.col("messages")).alias("text")),
     }
 
@@ -39,9 +103,55 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix(_documents(spark, sf_dir, "subset"), table(spark, sf_dir, "mix_target"))
+
+
+def p5_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[0].withColumnRenamed("id", "doc_id")
+
+
+def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mix(spark, sf_dir)[1]
+
+
+def _counted(spark: SparkSession, sf_dir: str, *others: str) -> DataFrame:
+    merges = tokens.read_merges(table(spark, sf_dir, "tokenizer_merge"))
+    return tokens.count_tokens(_documents(spark, sf_dir, *others), merges, list(others))
+
+
+def p6_doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(spark, sf_dir).select(F.col("id").alias("doc_id"), "n_tokens")
+
+
+def p6_token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = _counted(spark, sf_dir, "subset", "source", "lang", "meta").select(
+        cleaned(F.col("subset")).alias("subset"), cleaned(F.col("source")).alias("source"), language(F.col("lang")).alias("language"), domain(F.col("meta")).alias("domain"), "n_tokens"
+    )
+    cells = counted.groupBy("subset", "source", "language", "domain").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+    by = F.explode(F.array(*[F.struct(F.lit(c).alias("dimension"), F.col(c).alias("value")) for c in ("subset", "source", "language", "domain")])).alias("d")
+    return cells.select(by, "n_docs", "n_tokens").groupBy("d.dimension", "d.value").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    capacity, _ = _cap(spark, sf_dir, "pack")
+    items = _counted(spark, sf_dir).select("id", F.col("n_tokens").alias("size"))
+    return packing.pack(items, capacity).select(F.col("id").alias("doc_id"), "part", F.col("size").alias("n_tokens"), "container", "fill")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_leaks(spark, sf_dir).select("eval_id", "doc_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leakage.leaks(_evaluation(spark, sf_dir), _documents(spark, sf_dir))
+    return found.select(F.col("query_id").alias("eval_id"), F.col("id").alias("doc_id"), "covered", "n_query", "coverage", "alignment", "identity")
+
+
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_groups": p3_groups}
+    every = (p1_found, p1_split_source, p2_found, p2_pieces, p3_found, p3_groups, p5_uses, p5_shares, p6_doc_tokens, p6_token_budget, p7_containers, p8_found, p8_leaks)
+    return {q.__name__: shipped(q) for q in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
