@@ -30,6 +30,8 @@ ORDERS = (3, 4, 5)
 BITS = 18
 #: Longest passage; a longer one is cut.
 PASSAGE = 400
+#: Log-odds from which a text counts as bad: passages of bad texts were chosen as extremes, so 0 would be too near the others.
+MARGIN = 4.5
 #: Texts rated as bad, other rated texts and characters that the classifier is fitted on at the most.
 MOST_BAD, MOST_OTHER, MOST_CHARS = 1000, 2500, 10_000_000
 _LOW = 0x530
@@ -244,7 +246,7 @@ def train(records: DataFrame, labels: DataFrame, most_bad: int = MOST_BAD, most_
 
 
 def score(records: DataFrame, model: tuple[np.ndarray, float], others: list[str] = ()) -> DataFrame:
-    """`id`, the columns named in `others`, and the `score` (0 to 1) of each text's worst passage."""
+    """`id`, the columns named in `others`, and the `score` (0 to 1, bad from 0.5 on) of each text's worst passage."""
     shared = records.sparkSession.sparkContext.broadcast(model)
     kept = ["id", *others]
 
@@ -255,7 +257,7 @@ def score(records: DataFrame, model: tuple[np.ndarray, float], others: list[str]
             found = passage_scores(codes, starts, weights) + bias
             worst = np.full(batch.num_rows, -30.0)
             np.maximum.at(worst, owner, found)
-            chance = 1 / (1 + np.exp(-np.clip(worst, -30, 30)))
+            chance = 1 / (1 + np.exp(-np.clip(worst - MARGIN, -30, 30)))
             empty = np.array([not t for t in values(batch, "text")])
             chance[empty] = 0
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(chance)], names=[*kept, "score"])

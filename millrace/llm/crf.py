@@ -80,7 +80,7 @@ class Field:
         np.add.at(moves, (labels[here - 1], labels[here]), share[here])
         return gain, moves
 
-    def fit(self, chains: Chains, labels: np.ndarray, steps: int = 80, rate: float = 0.3, ridge: float = 1e-5) -> None:
+    def fit(self, chains: Chains, labels: np.ndarray, steps: int = 60, rate: float = 0.3, ridge: float = 1e-5) -> None:
         """Adagrad ascent; a sequence weighs the more, the rarer its rarest label is."""
         counts = np.bincount(labels, minlength=self.weights.shape[1])
         rare = np.sqrt(counts.max() / np.maximum(counts, 1))

@@ -28,6 +28,8 @@ ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
 DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
 #: Rows whose clauses the field is fitted on at the most.
 MOST_ROWS = 4000
+#: Weight that a cue label starts with; fitting moves it.
+CUE_WEIGHT = 6.0
 
 # Frequent words, numerals among them, by which the languages of the tables are told apart.
 LANGUAGE_WORDS = {
@@ -72,24 +74,41 @@ _EQUATION = re.compile(r"\d\s*(?:[-+*/^×·÷]|\\cdot|\\times)\s*\(?-?\d|=\s*\$?
 _OPEN_END = re.compile(r"(?:[-+*/=^,({\[<\\]|\\cdot|\\times|\b(?:of|the|a|to|and|or|we|is|by|with|then|second|first|that|for|as|number)|\[cut\]|<[^<>]*(?:max|length|limit|cut)[^<>]*>|\[[^\[\]]*(?:cut|truncated|limit)[^\[\]]*\])\s*$")
 _CLAUSE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
 _HASHED = 4096
-_CUES = 40
+_LABELS = 40
+_CUES = 48
 FEATURES = _CUES + _HASHED
+_LETTERS = re.compile(r"(?<!\\)\b[^\W\d_]{2,}")
+
+
+class _Slots(dict):
+    """Feature numbers of words and pairs of words, apart for clauses in another language; kept while they fit."""
+
+    def __missing__(self, key: tuple) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        found = self[key] = _CUES + zlib.crc32(repr(key).encode()) % _HASHED
+        return found
+
+
+_SLOTS = _Slots()
 
 
 def language(text: str, w: list[str]) -> str:
     """The language of a folded text and its words, or '' if nothing tells it."""
     letters = sum(map(len, w)) or 1
-    if len(_HAN.findall(text)) * 2 > letters * 0.3:
+    plain = text.isascii()
+    if not plain and len(_HAN.findall(text)) * 2 > letters * 0.3:
         return "zh"
-    if len(_CYRILLIC.findall(text)) > 0.3 * letters:
+    if not plain and len(_CYRILLIC.findall(text)) > 0.3 * letters:
         return "ru"
     score = dict.fromkeys(LANGUAGE_WORDS, 0.0)
     for word in w:
         if found := _OF_WORD.get(word):
             for name in found:
                 score[name] += 1 / len(found)
-    for name, marks in _MARKS.items():
-        score[name] += 0.7 * len(marks.findall(text))
+    if not plain or not any(score.values()):
+        for name, marks in _MARKS.items():
+            score[name] += 0.7 * len(marks.findall(text))
     best = max(score, key=score.get)
     return best if score[best] > 0 and score[best] > max(v for k, v in score.items() if k != best) else ""
 
@@ -104,9 +123,6 @@ class Response:
     """A question and the clauses of its response, with the features and the cue label of each."""
 
     def __init__(self, question: str | None, response: str | None, short: bool) -> None:
-        asked = words(question)
-        self.asked = set(asked)
-        pairs = set(zip(asked, asked[1:], strict=False))
         text = INVISIBLE.sub("", response) if response else ""
         self.clauses: list[list[int]] = []
         self.cues: list[int] = []
@@ -117,13 +133,17 @@ class Response:
         self.empty = bool(EMPTY.match(low))
         if self.empty:
             return
-        own = language(folded(question) if question else "", asked)
+        # A bare value is neither echo nor of a language; the question is read for other responses only.
+        bare = len(low) < 60 and bool(_VALUE.fullmatch(low)) and not _LETTERS.search(low)
+        asked = [] if bare else words(question)
+        known, pairs = set(asked), set(zip(asked, asked[1:], strict=False))
+        own = language(folded(question), asked) if asked else ""
         parts = [p for p in _CLAUSE.split(low) if p.strip(" \t\r*_>#-$.")]
         parts = parts or [low]
         for i, part in enumerate(parts):
             part = part.strip().strip("*_ ")
             w = words(part)
-            new = [x for x in w if x not in self.asked]
+            new = [x for x in w if x not in known]
             shared = 1 - len(new) / len(w) if w else 0.0
             couples = list(zip(w, w[1:], strict=False))
             echoed = sum(c in pairs for c in couples) / len(couples) if couples else 0.0
@@ -132,23 +152,22 @@ class Response:
             stated = box or value or (bool(RESULT_WORDS.search(part)) and any(c.isdigit() for c in part) and closed(part))
             spoken = language(part, [x for x in w if not x.isdigit()] if value else new or w)
             other = bool(own and spoken and spoken != own and len(w) > 0)
-            refusing = bool(REFUSALS.search(part))
-            equation = bool(_EQUATION.search(part)) and echoed < 0.6
+            equation = echoed < 0.6 and bool(_EQUATION.search(part))
+            refusing = not equation and not stated and bool(REFUSALS.search(part))
             whole = closed(part)
             last = i == len(parts) - 1
             result = stated and echoed < 0.8 or (short and whole and not refusing and len(w) <= 12 and echoed < 0.8)
             cue = [
                 0, 1 + min(4, int(shared * 5)), 6 + min(4, int(echoed * 5)), 11 + value, 13 + stated, 15 + other, 17 + refusing, 19 + equation,
-                21 + whole, 23 + last, 25 + (i == 0), 27 + (part[-1:] in ".!?。！？*$}"), 29 + min(3, len(w) // 3), 33 + short, 35 + (refusing and not equation and not stated),
-                37 + (last and not whole),
+                21 + whole, 23 + last, 25 + (i == 0), 27 + (part[-1:] in ".!?。！？*$}"), 29 + min(3, len(w) // 3), 33 + short, 35 + (last and not whole),
             ]
-            seen = {_CUES + zlib.crc32(x.encode()) % _HASHED for x in new if not x.isdigit()}
-            seen |= {_CUES + zlib.crc32(f"{a} {b}".encode()) % _HASHED for a, b in zip(new, new[1:], strict=False)}
-            self.clauses.append(cue + sorted(seen))
+            said = [x for x in new if not x.isdigit()]
+            kept = [(other, x) for x in said] + [(other, *c) for c in zip(said, said[1:], strict=False)]
+            found = cue + list(set(map(_SLOTS.__getitem__, kept)))
             self.sizes.append(max(1, len(w)))
             self.results.append(result)
             self.equations.append(equation)
-            if refusing and not equation and not stated:
+            if refusing:
                 label = REFUSAL
             elif other:
                 label = FOREIGN
@@ -163,6 +182,7 @@ class Response:
             else:
                 label = UNFINISHED if last and part[-1:] not in ".!?。！？*$}" else ANSWER
             self.cues.append(label)
+            self.clauses.append([*found, _LABELS + label])
 
 
 def defect(response: Response, tags: list[int]) -> str | None:
@@ -202,8 +222,11 @@ def train(pairs: DataFrame, most: int = MOST_ROWS) -> Field:
     rows = pairs.where(F.length("response") < 20_000).select("question", "response", "short", order.alias("o")).orderBy("o").limit(most).collect()
     found = [r for r in (Response(r.question, r.response, r.short) for r in rows) if r.clauses]
     field = Field(FEATURES, 5)
+    field.weights[_LABELS + np.arange(5), np.arange(5)] = CUE_WEIGHT
     if found:
-        field.fit(Chains([r.clauses for r in found]), np.array([c for r in found for c in r.cues]))
+        # Every fourth response hides its cue labels, so that the words learn to stand for them.
+        clauses = [[c if i % 4 else c[:-1] for c in r.clauses] for i, r in enumerate(found)]
+        field.fit(Chains(clauses), np.array([c for r in found for c in r.cues]))
     return field
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import leakage, mixing, overlap, packing, splitting, tokens
+from millrace.llm import abuse, leakage, mixing, overlap, packing, pair_defects, splitting, tokens
 from millrace.llm import near_duplicates as nd
 from millrace.llm.oracles import ORACLES
 from millrace.shipping import shipped
@@ -103,6 +103,16 @@ def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    question, response = pair_defects.chat_pair(F.col("messages"))
+    sft = table(spark, sf_dir, "sft").select(F.lit("sft").alias("table_name"), F.col("sft_id").alias("id"), question.alias("question"), response.alias("response"), F.lit(False).alias("short"))
+    grpo = table(spark, sf_dir, "grpo").select(
+        F.lit("grpo").alias("table_name"), F.col("problem_id").alias("id"), F.col("problem").alias("question"), F.col("answer").alias("response"), F.lit(True).alias("short")
+    )
+    pairs = sft.unionByName(grpo).where(F.col("id").isNotNull())
+    return pair_defects.find_defects(pairs, pair_defects.train(pairs)).withColumnRenamed("id", "rec_id")
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return mixing.mix(_documents(spark, sf_dir, "subset"), table(spark, sf_dir, "mix_target"))
 
@@ -148,8 +158,28 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").alias("eval_id"), F.col("id").alias("doc_id"), "covered", "n_query", "coverage", "alignment", "identity")
 
 
+def _abuse_scores(spark: SparkSession, sf_dir: str, *others: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), "category")
+    model = abuse.train(_documents(spark, sf_dir), labels)
+    return abuse.score(_documents(spark, sf_dir, *others), model, list(others))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse_scores(spark, sf_dir).where(F.col("score") >= 0.5).select(F.col("id").alias("doc_id"))
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _abuse_scores(spark, sf_dir).select(F.col("id").alias("doc_id"), "score")
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bad = (F.col("score") >= 0.5).cast("long")
+    scored = _abuse_scores(spark, sf_dir, "source").groupBy(cleaned(F.col("source")).alias("source"))
+    return scored.agg(F.count(F.lit(1)).alias("n_docs"), F.sum(bad).alias("n_bad"), F.avg(bad.cast("double")).alias("rate"))
+
+
 def queries() -> dict[str, Query]:
-    every = (p1_found, p1_split_source, p2_found, p2_pieces, p3_found, p3_groups, p5_uses, p5_shares, p6_doc_tokens, p6_token_budget, p7_containers, p8_found, p8_leaks)
+    every = (p1_found, p1_split_source, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p5_uses, p5_shares, p6_doc_tokens, p6_token_budget, p7_containers, p8_found, p8_leaks, p9_found, p9_scores, p9_rates)
     return {q.__name__: shipped(q) for q in every}
 
 
