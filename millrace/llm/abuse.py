@@ -11,13 +11,14 @@ kinds of ratings every text scores 0; extra columns are ignored; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import pieces, values
+from millrace.llm.arrow import keyed, pieces, values
 from millrace.llm.text import folded
 from millrace.storage import materialise
 
@@ -32,6 +33,8 @@ BITS = 18
 PASSAGE = 400
 #: Log-odds from which a text counts as bad: passages of bad texts were chosen as extremes, so 0 would be too near the others.
 MARGIN = 4.5
+#: Characters that are scored at once.
+SLICE = 1_500_000
 #: Texts rated as bad, other rated texts and characters that the classifier is fitted on at the most.
 MOST_BAD, MOST_OTHER, MOST_CHARS = 1000, 2500, 10_000_000
 _LOW = 0x530
@@ -211,6 +214,17 @@ def fit(texts: list[str], bad: np.ndarray, rounds: int = 3, steps: int = 30, rid
     return out.reshape(len(ORDERS), size), float(bias)
 
 
+def sliced(text: str | None) -> list[str]:
+    """A text in parts of at most SLICE characters, cut at line breaks or spaces where there are any."""
+    text, out, at = text or "", [], 0
+    while len(text) - at > SLICE:
+        cut = max(text.rfind("\n", at, at + SLICE), text.rfind(" ", at + SLICE // 2, at + SLICE)) + 1
+        cut = cut if cut > at + SLICE // 2 else at + SLICE
+        out.append(text[at:cut])
+        at = cut
+    return [*out, text[at:]]
+
+
 def ratings(labels: DataFrame) -> DataFrame:
     """`id`, `bad` of the texts whose usable ratings agree on whether they are bad."""
     category = F.lower(F.trim("category"))
@@ -225,7 +239,7 @@ def train(records: DataFrame, labels: DataFrame, most_bad: int = MOST_BAD, most_
     rated = ratings(labels)
     some = [rated.where(F.col("bad") == b).orderBy(order, "id").limit(n) for b, n in ((True, most_bad), (False, most_other))]
     chosen = F.broadcast(some[0].unionByName(some[1]))
-    known = records.where(F.col("id").isNotNull() & (F.length("text") > 0)).select("id", "text").join(chosen, "id").dropDuplicates(["id"])
+    known = keyed(records).where(F.col("id").isNotNull() & (F.length("text") > 0)).join(chosen, "id").dropDuplicates(["id"])
     sample = materialise(known, "rated")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,15 +266,17 @@ def score(records: DataFrame, model: tuple[np.ndarray, float], others: list[str]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = shared.value
-        for batch in pieces(batches, "text", most=1_500_000):
-            codes, starts, owner = passages(values(batch, "text"))
-            found = passage_scores(codes, starts, weights) + bias
+        for batch in pieces(batches, "text", most=SLICE):
+            slices = [(i, part) for i, t in enumerate(values(batch, "text")) for part in sliced(t)]
             worst = np.full(batch.num_rows, -30.0)
-            np.maximum.at(worst, owner, found)
+            for _, some in groupby(enumerate(slices), lambda x: x[0] if len(x[1][1]) > SLICE // 2 else -1):
+                rows, parts = zip(*[x for _, x in some], strict=True)
+                codes, starts, owner = passages(list(parts))
+                np.maximum.at(worst, np.array(rows)[owner], passage_scores(codes, starts, weights) + bias)
             chance = 1 / (1 + np.exp(-np.clip(worst - MARGIN, -30, 30)))
             empty = np.array([not t for t in values(batch, "text")])
             chance[empty] = 0
             yield pa.RecordBatch.from_arrays([*[batch.column(batch.schema.get_field_index(c)) for c in kept], pa.array(chance)], names=[*kept, "score"])
 
-    source = records.select(*kept, "text")
+    source = keyed(records, *others)
     return source.mapInArrow(run, source.drop("text").schema.add("score", "double"))

@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Bytes of text that an operator turns into Python or NumPy objects at once.
 PIECE_BYTES = 4_000_000
@@ -28,3 +30,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYT
 
 def values(batch: pa.RecordBatch, column: str) -> list:
     return batch.column(batch.schema.get_field_index(column)).to_pylist()
+
+
+def keyed(records: DataFrame, *others: str) -> DataFrame:
+    """`id` as long, the other columns, and `text` as string: what the operators read of a table."""
+    return records.select(F.col("id").cast("long").alias("id"), *others, F.col("text").cast("string").alias("text"))

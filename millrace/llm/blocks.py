@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.arrow import keyed
 from millrace.storage import materialise
 
 #: Characters of query texts in a block: what the driver holds and every executor gets at once.
@@ -48,4 +49,4 @@ def nothing(queries: DataFrame, schema: str) -> DataFrame:
 
 
 def usable(df: DataFrame) -> DataFrame:
-    return df.where(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text")
+    return keyed(df).where(F.col("id").isNotNull() & F.col("text").isNotNull())

@@ -107,7 +107,7 @@ def mix(records: DataFrame, targets: DataFrame, *, total: int | None = None, see
     goals = targets.where(F.col("subset").isNotNull() & (F.col("target_share") > 0)).select(
         clean_key(F.col("subset")).alias("key"), F.trim("subset").alias("subset"), "target_share", F.greatest(F.coalesce("max_repeat", F.lit(1)), F.lit(1)).alias("max_repeat")
     )
-    sized = records.where(F.col("id").isNotNull() & (F.length("text") > 0)).select("id", clean_key(F.col("subset")).alias("key"), F.length("text").alias("length"))
+    sized = records.where(F.col("id").isNotNull() & (F.length("text") > 0)).select(F.col("id").cast("long").alias("id"), clean_key(F.col("subset").cast("string")).alias("key"), F.length("text").alias("length"))
     sized = materialise(sized.groupBy("id").agg(F.min_by("key", "length").alias("key"), F.min("length").alias("length")).where(F.col("key").isNotNull()), "sized")
     histogram = sized.groupBy("key", "length").agg(F.count(F.lit(1)).alias("n"))
     held = histogram.groupBy("key").agg(F.sum(F.col("n") * F.col("length")).alias("chars"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import hyperminhash as hmh
-from millrace.llm.arrow import pieces, values
+from millrace.llm.arrow import keyed, pieces, values
 from millrace.llm.components import label_components
 from millrace.llm.text import distinct_shingles, remix
 from millrace.sizing import broadcast_if_small
@@ -89,7 +89,8 @@ def links(
     threshold. Records of one shingle set enter the bands once, so copies make no pairs however many they are.
     """
     buckets = bands * rows
-    table = materialise(sketches(records.select("id", "text"), size, buckets).dropDuplicates(["id"]), "sketches")
+    records = keyed(records)
+    table = materialise(sketches(records, size, buckets).dropDuplicates(["id"]), "sketches")
     copied = table.groupBy("class").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("class", "rep")
     known = table.select("id", "class").join(broadcast_if_small(copied), "class", "left")
     members = known.select("id", F.coalesce("rep", "id").alias("rep"))
@@ -112,7 +113,7 @@ def links(
     likely = both.select("a", "b", "n_a", "n_b", "registers_a", "registers_b").mapInArrow(_estimates(buckets), "a long, b long, estimate double")
     likely = materialise(likely.where(F.col("estimate") >= threshold - margin), "likely")
     ends = likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = records.where(F.col("text").isNotNull()).select("id", "text").join(broadcast_if_small(ends), "id", "left_semi")
+    texts = records.where(F.col("text").isNotNull()).join(broadcast_if_small(ends), "id", "left_semi")
     sets = texts.mapInArrow(_shingle_scan(size), "id long, shingles array<long>").dropDuplicates(["id"])
     met = likely.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))

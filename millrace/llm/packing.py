@@ -5,7 +5,7 @@ subset-sum fills one container at a time as near to capacity as the remaining le
 same filling is used as often as the counts permit. Items are then dealt to the planned places by their rank in their length.
 
 Defined results: an item longer than the capacity fills whole containers and leaves one shorter rest; an item of no length
-(null or empty text) stands in no container (null); a null id is left out; ties are broken by a seeded hash and the id; an
+(null or empty text) stands in no container (null); a null id is left out and a repeated id is one item (of its largest size); ties are broken by a seeded hash and the id; an
 empty table gives an empty result.
 """
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.ranking import salted_rank
@@ -93,8 +93,8 @@ def pack(items: DataFrame, capacity: int, seed: int = 7) -> DataFrame:
     """
     if capacity < 1:
         raise ValueError("capacity must be positive")
-    items = items.where(F.col("id").isNotNull()).select("id", F.coalesce("size", F.lit(0)).cast("long").alias("size"))
-    items = materialise(items.groupBy("id", "size").agg(F.count(F.lit(1)).alias("_copies")).select("id", "size"), "items")
+    items = items.where(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), F.greatest(F.coalesce("size", F.lit(0)), F.lit(0)).cast("long").alias("size"))
+    items = materialise(items.groupBy("id").agg(F.max("size").alias("size")), "items")
     full = F.floor(F.col("size") / F.lit(capacity)).cast("long")
     rest = (F.col("size") % capacity).cast("int")
     rests = items.select("id", full.cast("int").alias("part"), rest.alias("length")).where("length > 0")
@@ -118,8 +118,6 @@ def pack(items: DataFrame, capacity: int, seed: int = 7) -> DataFrame:
 
 def salted_offsets(df: DataFrame, seed: int, buckets: int = 256) -> DataFrame:
     """Adds `before`: the sum of `full` over the rows before, in the order of hash ranges that are summed apart."""
-    from pyspark.sql import Window
-
     tagged = df.withColumn("_h", F.xxhash64(F.lit(seed), "id")).withColumn("_b", F.pmod("_h", F.lit(buckets)))
     totals = tagged.groupBy("_b").agg(F.sum("full").alias("_n"))
     earlier = Window.partitionBy(F.lit("all")).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

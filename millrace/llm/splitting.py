@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.arrow import pieces, values
+from millrace.llm.arrow import keyed, pieces, values
 
 # Marks at which a text may be cut, besides white space.
 SENTENCE_ENDS = ".!?。！？"
@@ -112,7 +112,7 @@ def piece_spans(records: DataFrame, capacity: int, overlap: int) -> DataFrame:
     """
     if not 0 <= overlap < capacity:
         raise ValueError("overlap must be less than capacity and not negative")
-    large = records.where(F.length("text") > capacity).select("id", "text")
+    large = keyed(records).where(F.length("text") > capacity)
     return large.mapInArrow(_scan(capacity, overlap), SCHEMA)
 
 
@@ -129,4 +129,4 @@ def split_texts(records: DataFrame, capacity: int, overlap: int) -> DataFrame:
                     cut = [text[a:b] for a, b in zip(values(found, "start"), values(found, "stop"), strict=True)]
                     yield found.append_column("text", pa.array(cut, pa.string()))
 
-    return records.where(F.length("text") > capacity).select("id", "text").mapInArrow(scan, SCHEMA + ", text string")
+    return keyed(records).where(F.length("text") > capacity).mapInArrow(scan, SCHEMA + ", text string")

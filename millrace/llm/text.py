@@ -21,6 +21,10 @@ def folded(text: str) -> str:
     return INVISIBLE.sub("", unicodedata.normalize("NFKC", text)).lower()
 
 
+#: Texts longer than this are read match by match, without a list of their words.
+LONG_TEXT = 2_000_000
+
+
 def words(text: str | None) -> list[str]:
     """The maximal runs of letters and digits of the folded text; none of a null text."""
     return WORD.findall(folded(text)) if text else []
@@ -51,12 +55,23 @@ def remix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The word hashes of all texts one after the other, and the start of each text in them (with the end as last)."""
-    parts, ends = [], [0]
+    arrays, parts, ends = [], [], [0]
+
+    def flush() -> None:
+        arrays.append(np.fromiter(map(HASHES.__getitem__, parts), np.uint64, len(parts)))
+        parts.clear()
+
     for text in texts:
-        found = words(text)
-        parts += found
-        ends.append(len(parts))
-    return np.fromiter(map(HASHES.__getitem__, parts), np.uint64, len(parts)), np.array(ends, np.int64)
+        if text and len(text) > LONG_TEXT:
+            flush()
+            arrays.append(np.fromiter((HASHES[m.group()] for m in WORD.finditer(folded(text))), np.uint64))
+            ends.append(ends[-1] + len(arrays[-1]))
+        else:
+            found = words(text)
+            parts += found
+            ends.append(ends[-1] + len(found))
+    flush()
+    return np.concatenate(arrays), np.array(ends, np.int64)
 
 
 def shingle_hashes(texts: Iterable[str | None], size: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

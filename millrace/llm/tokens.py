@@ -12,12 +12,13 @@ table gives an empty result.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.arrow import pieces, values
+from millrace.llm.arrow import keyed, pieces, values
+from millrace.llm.text import LONG_TEXT
 
 #: Runs: letters, up to three digits or other marks, each with one leading space at the most; white space; underscores.
 RUN = re.compile(r" ?[^\W\d_]+| ?\d{1,3}| ?[^\w\s]+|\s+|_+")
@@ -120,6 +121,12 @@ def long_count(tokenizer: Tokenizer, piece: str) -> int:
     return numbers[-1]
 
 
+def text_tokens(text: str | None, of: Callable[[str], int]) -> int:
+    if not text:
+        return 0
+    return sum(map(of, RUN.findall(text))) if len(text) < LONG_TEXT else sum(of(m.group()) for m in RUN.finditer(text))
+
+
 def read_merges(merges: DataFrame, most: int = 1_000_000) -> list[tuple[str, str]]:
     """The merge table (`merge_rank`, `left_piece`, `right_piece`) in order; a vocabulary has a bounded number of rows, which is checked."""
     rows = merges.select("merge_rank", "left_piece", "right_piece").dropna().limit(most + 1).collect()
@@ -137,10 +144,10 @@ def count_tokens(records: DataFrame, merges: list[tuple[str, str]], others: list
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = Counts(Tokenizer(shared.value)).__getitem__
         for batch in pieces(batches, "text"):
-            n = [sum(map(of, RUN.findall(t))) if t else 0 for t in values(batch, "text")]
+            n = [text_tokens(t, of) for t in values(batch, "text")]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n, pa.int64())], names=[*kept, "n_tokens"])
 
-    source = records.select(*kept, "text")
+    source = keyed(records, *others)
     schema = source.drop("text").schema.add("n_tokens", "long")
     return source.mapInArrow(scan, schema)
