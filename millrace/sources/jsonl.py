@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.functions.strings import strip
+
 CORPUS = T.StructType([T.StructField("text", T.StringType()), T.StructField("subset", T.StringType()), T.StructField("meta", T.StringType())])
 GSM = T.StructType([T.StructField("question", T.StringType()), T.StructField("answer", T.StringType())])
 MATH = T.StructType(
@@ -47,13 +49,17 @@ def read_lines(spark: SparkSession, folder: str, schema: T.StructType = CORPUS,
     if ending is None:
         raise FileNotFoundError(f"no *.jsonl.gz and no *.jsonl in {folder}")
     full = T.StructType([*schema.fields, T.StructField(_BAD, T.StringType())])
-    rows = spark.read.schema(full).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}").json(folder)
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ending}").text(folder)
     path = F.col("_metadata.file_path")
-    placed = rows.select("*", path.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
-    placed = placed.withColumn("split", split_of(F.col("file"))).withColumn("source", source_of(F.col("file")))
+    placed = lines.select("value", path.alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    placed = placed.where(strip(F.col("value")) != "")
+    parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD})
+    rows = placed.select(parsed.alias("_row"), "value", "file", "block", "line", split_of(F.col("file")).alias("split"), source_of(F.col("file")).alias("source"))
+    bad = F.col("_row").isNull() | F.col(f"_row.{_BAD}").isNotNull()
+    columns = [F.col(f"_row.{f.name}").alias(f.name) for f in schema.fields] + ["file", "block", "line", "split", "source"]
     if keep_bad:
-        return placed.withColumnRenamed(_BAD, "bad_line")
-    return placed.where(F.col(_BAD).isNull()).drop(_BAD)
+        return rows.select(*columns, F.when(bad, F.col("value")).alias("bad_line"))
+    return rows.where(~bad).select(*columns)
 
 
 def first_file(rows: DataFrame) -> DataFrame:

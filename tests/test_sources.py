@@ -21,7 +21,7 @@ LINES = [json.dumps({"text": f"document {i} " + "x" * 300, "subset": "s", "more"
 
 
 def test_read_lines(spark, tmp_path):
-    fill(tmp_path, {"train/b/1.jsonl.gz": LINES[:10], "train/a/1.jsonl.gz": [*LINES[10:15], "", "{broken", '{"text": null}'], "validation/a/1.jsonl.gz": LINES[15:20]}, True)
+    fill(tmp_path, {"train/b/1.jsonl.gz": LINES[:10], "train/a/1.jsonl.gz": [*LINES[10:15], "", "{broken", "[1]", '[{"text": "a"}]', '{"text": null}'], "validation/a/1.jsonl.gz": LINES[15:20]}, True)
     fill(tmp_path, {"train/c/1.jsonl": LINES[20:]}, False)
     rows = jsonl.read_lines(spark, str(tmp_path)).cache()
     assert {(r.source, r.split): r.n for r in rows.groupBy("source", "split").agg(F.count("*").alias("n")).collect()} == {("a", "train"): 6, ("b", "train"): 10, ("a", "validation"): 5}
@@ -30,7 +30,7 @@ def test_read_lines(spark, tmp_path):
     assert {r.source: r.source_pos for r in jsonl.source_positions(rows.where("split = 'train'")).collect()} == {"a": 1, "b": 2}
     assert {r.source for r in jsonl.first_file(rows).select("source").collect()} == {"a"}
     bad = jsonl.read_lines(spark, str(tmp_path), keep_bad=True)
-    assert [r.bad_line for r in bad.where("bad_line is not null").collect()] == ["{broken"]
+    assert [r.bad_line for r in bad.where("bad_line is not null").orderBy("file", "line").collect()] == ["{broken", "[1]", '[{"text": "a"}]']
 
 
 def test_plain_lines_only_without_packed_ones(spark, tmp_path):
