@@ -151,7 +151,7 @@ class Response:
             box = bool(_BOX.search(part)) and closed(part)
             stated = box or value or (bool(RESULT_WORDS.search(part)) and any(c.isdigit() for c in part) and closed(part))
             spoken = language(part, [x for x in w if not x.isdigit()] if value else new or w)
-            other = bool(own and spoken and spoken != own and len(w) > 0)
+            other = bool(own and spoken and spoken != own and echoed < 0.6)
             equation = echoed < 0.6 and bool(_EQUATION.search(part))
             refusing = not equation and not stated and bool(REFUSALS.search(part))
             whole = closed(part)
