@@ -12,9 +12,19 @@ from pyspark.sql import functions as F
 from millrace.storage import materialise
 
 
+#: Rows of a partition, at the least and at the most.
+FEWEST, MOST = 20_000, 2_000_000
+
+
 def _partitioned(df: DataFrame, order: list[str]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialise(df.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()), "ordered")
+    """df in written range partitions `_pid`. It is written as it comes first, for sorting by range reads its input twice."""
+    narrow = materialise(df, "narrow")
+    n = narrow.count()
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(-(-n // MOST), min(usual, -(-n // FEWEST)), 1)
+    if parts == 1:
+        return narrow.withColumn("_pid", F.lit(0))
+    return materialise(narrow.repartitionByRange(parts, *order).withColumn("_pid", F.spark_partition_id()), "ordered")
 
 
 def _offsets(ranged: DataFrame, keys: list[str], amount: Column) -> DataFrame:
