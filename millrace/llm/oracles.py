@@ -33,6 +33,16 @@ def _near(name: str, rows: str, key: str, text: str) -> str:
     SELECT a, b FROM met JOIN {name}_n p ON p.id = a JOIN {name}_n q ON q.id = b WHERE k / (p.n + q.n - k) >= 0.5)"""
 
 
+def _groups(name: str, rows: str, key: str, text: str) -> str:
+    return f"""(WITH RECURSIVE {_triples(name, rows, key, text)},
+    sets AS (SELECT id, md5(string_agg(t, '|' ORDER BY t)) AS s FROM {name}_t GROUP BY id), members AS MATERIALIZED (SELECT id, min(id) OVER (PARTITION BY s) AS rep FROM sets),
+    r_t AS MATERIALIZED (SELECT * FROM {name}_t WHERE id IN (SELECT rep FROM members)),
+    met AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM r_t x JOIN r_t y ON x.t = y.t AND x.id < y.id GROUP BY ALL),
+    links AS MATERIALIZED (SELECT a, b FROM met JOIN {name}_n p ON p.id = a JOIN {name}_n q ON q.id = b WHERE k / (p.n + q.n - k) >= 0.5),
+    ends AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach(a, b) AS (SELECT a, b FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b)
+    SELECT id, rep, coalesce((SELECT min(least(r.a, r.b)) FROM reach r WHERE r.a = rep), rep) AS group_id, (SELECT count(*) FROM ends e WHERE e.a = rep) AS n_links FROM members)"""
+
+
 _CHAT = "(SELECT sft_id, array_to_string(list_transform(list_filter(messages, lambda m: lower(trim(coalesce(m.role, ''))) <> 'system'), lambda m: coalesce(m.content, '')), chr(10)) AS said FROM sft)"
 
 _LEAK = f"""WITH {_triples('e', 'eval_row', 'eval_id', 'problem')}, {_triples('d', 'documents', 'doc_id', 'text')},
@@ -48,5 +58,6 @@ ORACLES: dict[str, str] = {
     "p2_found": rf"""SELECT doc_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[{_SPACE}.!?;:,。！？；：，]'), lambda x: length(x))) > 4000 THEN 'forced' ELSE 'natural' END AS cut_kind
     FROM documents WHERE length(text) > 4000""",
     "p3_found": f"SELECT 'documents' AS table_name, a AS id_a, b AS id_b FROM {_near('d', 'documents', 'doc_id', 'text')} UNION ALL SELECT 'sft', a, b FROM {_near('s', _CHAT, 'sft_id', 'said')}",
+    "p3_groups": f"SELECT 'documents' AS table_name, id, rep, group_id, n_links FROM {_groups('d', 'documents', 'doc_id', 'text')} UNION ALL SELECT 'sft', id, rep, group_id, n_links FROM {_groups('s', _CHAT, 'sft_id', 'said')}",
     "p8_found": f"{_LEAK} SELECT a AS eval_id, b AS doc_id FROM met JOIN e_n ON e_n.id = a WHERE k / n >= 0.5",
 }
