@@ -79,11 +79,13 @@ def numeric_equal(a: Column, b: Column) -> Column:
 
 
 def verdict(pred: Column, gold: Column) -> Column:
-    """True or false where text or numbers decide on equivalence; null where only symbolic comparison can."""
+    """struct(same, p, g): true or false where text or numbers decide on equivalence; else null, and the two normal forms."""
 
     def decide(n: Column) -> Column:
         both = F.struct(to_number(n["p"]).alias("x"), to_number(n["g"]).alias("y"))
         numbers = let(both, lambda v: F.when(v["x"].isNotNull() & v["y"].isNotNull(), numeric_equal(v["x"], v["y"])))
-        return F.when(n["p"] == n["g"], True).otherwise(numbers)
+        same = F.when(n["p"] == n["g"], True).otherwise(numbers)
+        return let(same, lambda s: F.struct(s.alias("same"), F.when(s.isNull(), n["p"]).alias("p"), F.when(s.isNull(), n["g"]).alias("g")))
 
-    return F.when(pred.isNull(), False).otherwise(let(F.struct(normalise(pred).alias("p"), normalise(gold).alias("g")), decide))
+    none = F.struct(F.lit(False).alias("same"), F.lit(None).cast("string").alias("p"), F.lit(None).cast("string").alias("g"))
+    return F.when(pred.isNull(), none).otherwise(let(F.struct(normalise(pred).alias("p"), normalise(gold).alias("g")), decide))

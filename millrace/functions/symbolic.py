@@ -8,14 +8,14 @@ roots) are not found: such pairs count as different.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from fractions import Fraction
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.comparison import normalise, verdict
+from millrace.functions.comparison import verdict
 
 _TOKEN = re.compile(r"\s*(\d+\.\d+|\.\d+|\d+|sqrt|pi|[A-Za-z]|\*\*|[-+*/^()])")
 _MACROS = ((r"\cdot", "*"), (r"\times", "*"), (r"\div", "/"), (r"\pi", "pi"))
@@ -197,18 +197,16 @@ def equal(a: str, b: str) -> bool:
         return False
 
 
-def _batches(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for part in parts:
-        yield pd.DataFrame({"_p": part["_p"], "_g": part["_g"], "_same": [equal(p, g) for p, g in zip(part["_p"], part["_g"], strict=True)]})
+def _equal_pairs(p: pd.Series, g: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or b is None else equal(a, b) for a, b in zip(p, g, strict=True)], dtype="object")
 
 
 def with_equivalence(df: DataFrame, pred: str, gold: str, name: str = "equivalent") -> DataFrame:
     """df with the boolean `name`: whether two answers are equivalent by text, number or expression.
 
-    Python sees each distinct pair of normal forms once, and only those that text and numbers leave undecided.
+    Python gets two short columns, which are null wherever text or numbers decide.
     """
-    marked = df.withColumn(name, verdict(F.col(pred), F.col(gold))).withColumn("_np", normalise(F.col(pred))).withColumn("_ng", normalise(F.col(gold)))
-    open_pairs = marked.where(F.col(name).isNull()).select(F.col("_np").alias("_p"), F.col("_ng").alias("_g")).distinct()
-    solved = open_pairs.mapInPandas(_batches, "_p string, _g string, _same boolean")
-    joined = marked.join(solved, (F.col("_np") == F.col("_p")) & (F.col("_ng") == F.col("_g")) & F.col(name).isNull(), "left")
-    return joined.withColumn(name, F.coalesce(name, "_same", F.lit(False))).drop("_np", "_ng", "_p", "_g", "_same")
+    same = F.pandas_udf(_equal_pairs, T.BooleanType()).asNondeterministic()
+    marked = df.withColumn("_verdict", verdict(F.col(pred), F.col(gold)))
+    marked = marked.withColumn("_symbolic", same(F.col("_verdict.p"), F.col("_verdict.g")))
+    return marked.withColumn(name, F.coalesce("_verdict.same", "_symbolic", F.lit(False))).drop("_verdict", "_symbolic")
