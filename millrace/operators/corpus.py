@@ -37,13 +37,13 @@ def budget_cut(df: DataFrame, order: list[str], size: str, target: float) -> Dat
     return positions(df, order, size).where((F.col("seq") == 1) | (F.col("before") < F.lit(target)))
 
 
-def balanced_budget(df: DataFrame, source: str, order: list[str], size: str, target: float, least: int = MIN_CHARS) -> DataFrame:
-    """Balanced order and budget cut in one: `source`, the order columns, `size`, `round`, `seq`, `before`.
+def balanced_budget(df: DataFrame, source: str, order: list[str], size: str, target: float, least: int = MIN_CHARS, extra: list[str] = ()) -> DataFrame:
+    """Balanced order and budget cut in one: `source`, the order columns, `size`, `extra`, `round`, `seq`, `before`.
 
     A document has `least` characters or more, so no source reaches past round target / least + 1; later rounds are dropped
     before the rows are ordered again.
     """
-    ranked = rank_in_groups(df.select(source, *order, size), [source], order, "round")
+    ranked = rank_in_groups(df.select(source, *order, size, *extra), [source], order, "round")
     likely = ranked.where(F.col("round") <= F.lit(int(target // max(1, least)) + 2))
     return budget_cut(likely, ["round", source], size, target)
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows of a sampled profile.
+SAMPLED = 500
+
 
 def _histogram(df: DataFrame, value: str) -> DataFrame:
     """`value`, `n`, `upto` (rows up to it): as many rows as there are different values."""

@@ -12,7 +12,7 @@ from millrace.plans import sqltext as Q
 from millrace.tables import table
 
 #: Characters of the budget queries, documents of a shard, documents of a source, rows of the sampled profile.
-TARGET, SHARD, HEAD, SAMPLE = 1_000_000, 200, 50, 500
+TARGET, SHARD, HEAD, SAMPLE = 1_000_000, 200, 50, P.SAMPLED
 SUBSETS = ["arXiv", "Wikipedia", "ProofWiki"]
 VALIDATION = "text-ug"
 

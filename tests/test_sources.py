@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import corpus as C
+from millrace.plans import pipelines
 from millrace.sources import jsonl, shards
 from millrace.streaming.generation import oracle, with_completions
 from millrace.streaming.live_accuracy import stream_accuracy
@@ -74,3 +75,27 @@ def test_generation(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "p string")
     found = {r.p: r.completion for r in with_completions(df, "p", oracle({"a": "1"})).collect()}
     assert found == {"a": "\\boxed{1}", "b": "\\boxed{0}", None: "\\boxed{0}"}
+
+
+def test_corpus_to_shards(spark, tmp_path):
+    def docs(name, n):
+        return [json.dumps({"text": f"{name} {i} " + "x" * 40, "subset": name}) for i in range(n)] + [json.dumps({"text": "short"}), "{"]
+
+    fill(tmp_path / "in", {"train/b/1.jsonl.gz": docs("b", 60), "train/a/2.jsonl.gz": docs("a", 30), "validation/a/1.jsonl.gz": docs("v", 10)}, True)
+    out = tmp_path / "out"
+    out.mkdir()
+    found = pipelines.corpus_to_shards(spark, str(tmp_path / "in"), str(out), target_tokens=10**6, val_tokens=10**6, docs=25, min_chars=20)
+    assert (found["train"]["docs"], found["train"]["shards"], found["validation"]["docs"], found["warnings"]) == (90, 4, 10, [])
+    texts = [[r.text.split()[0] + r.text.split()[1] for r in spark.read.parquet(str(out / shards.shard_name(i))).collect()] for i in range(5)]
+    order = [x for i in range(30) for x in (f"a{i}", f"b{i}")] + [f"b{i}" for i in range(30, 60)]
+    assert sum(texts[:4], []) == order and texts[4] == [f"v{i}" for i in range(10)]
+    few = pipelines.corpus_to_shards(spark, str(tmp_path / "in"), str(tmp_path / "few"), target_tokens=1, subsets=["b"], min_chars=20) if (tmp_path / "few").mkdir() is None else None
+    assert few["train"]["docs"] == 1 and few["warnings"] == ["fewer than two shards", "no validation shard"]
+
+
+def test_sft_and_inspect(spark, tmp_path):
+    df = spark.createDataFrame([(1, "p", "so 5", "5"), (2, "q", "x", " ")], "id int, problem string, solution string, answer string")
+    assert {r.source: r.n for r in pipelines.sft_to_jsonl({"one": df, "two": df}, str(tmp_path / "o"), 1).collect()} == {"one": 1, "two": 1}
+    found = pipelines.inspect({"good": lambda: df, "bad": lambda: 1 / 0}, "problem")
+    assert found["good"]["lengths"]["n"] == 2 and "ZeroDivisionError" in found["bad"]["skipped"]
+    assert (pipelines.temperature(1), pipelines.temperature(4), pipelines.temperature(4, 0.5)) == (0.0, 1.0, 0.5)
