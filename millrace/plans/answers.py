@@ -195,10 +195,40 @@ _FORMS = "forms AS (SELECT DISTINCT answer FROM (SELECT answer FROM grpo UNION A
 _GRADED = f"WITH {Q.graded(Q.RECORDS, 'completion', 'gold', 'record_id, run_id, eval_id')}"
 _PAIRS = f"pairs AS (SELECT DISTINCT record_id, predicted, gold FROM eval_record), normal AS (SELECT *, {Q.normal('predicted')} AS p, {Q.normal('gold')} AS g FROM pairs), valued AS (SELECT *, {Q.number('p')} AS x, {Q.number('g')} AS y FROM normal)"
 _TAIL = Q.strip(rf"regexp_extract(part, '[0-9.\s\x0b\x{{85}}\p{{Z}}()+\-*/%]+$')")
-_CANDIDATES = rf"""WITH {_REPLIES}, lines AS (SELECT sft_id, string_split({Q.arithmetic('reply')}, chr(10)) AS l FROM replies WHERE reply IS NOT NULL),
-    numbered AS (SELECT sft_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM lines),
-    parts AS (SELECT sft_id, line_no, generate_subscripts(string_split(line, '='), 1) - 1 AS part_no, unnest(string_split(line, '=')) AS part FROM numbered WHERE contains(line, '='))
-    SELECT sft_id, line_no::INTEGER AS line_no, part_no::INTEGER AS part_no, CASE WHEN regexp_matches({_TAIL}, '\d') AND left({_TAIL}, 1) NOT IN ('+', '*', '/', '%') THEN {_TAIL} END AS expression FROM parts"""
+
+
+def _parts(rows: str, key: str, text: str) -> str:
+    """CTEs to `candidates(key, line_no, part_no, expression)`: the arithmetic that each part between equals signs ends in."""
+    return rf"""lines AS (SELECT {key}, string_split({Q.arithmetic(text)}, chr(10)) AS l FROM {rows} WHERE {text} IS NOT NULL),
+    numbered AS (SELECT {key}, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM lines),
+    parts AS (SELECT {key}, line_no, generate_subscripts(string_split(line, '='), 1) - 1 AS part_no, unnest(string_split(line, '=')) AS part FROM numbered WHERE contains(line, '=')),
+    candidates AS MATERIALIZED (SELECT {key}, line_no::INTEGER AS line_no, part_no::INTEGER AS part_no, CASE WHEN regexp_matches({_TAIL}, '\d') AND left({_TAIL}, 1) NOT IN ('+', '*', '/', '%') THEN {_TAIL} END AS expression FROM parts)"""
+
+
+def _value(x: str) -> str:
+    """The value of the forms of expressions that the tables hold: a number, or two of them and + - *."""
+    n = [f"regexp_extract({x}, '^(-?)[ \\t]*(\\d+)\\.?(?:[ \\t]*([-+*])[ \\t]*(\\d+)\\.?)?$', {i})" for i in range(1, 5)]
+    first = f"(CASE WHEN {n[0]} = '-' THEN -1 ELSE 1 END * try_cast({n[1]} AS BIGINT))"
+    second = f"try_cast({n[3]} AS BIGINT)"
+    return f"CASE {n[2]} WHEN '+' THEN {first} + {second} WHEN '-' THEN {first} - {second} WHEN '*' THEN {first} * {second} ELSE {first} END"
+
+
+def _checks(rows: str, key: str, text: str) -> str:
+    """CTEs to `checks(key, check_no, expr, computed, stated, ok)`."""
+    return rf"""{_parts(rows, key, text)}, valued AS (SELECT *, {_value('expression')} AS v, regexp_matches(expression, '[-+*/%]') AS worked FROM candidates),
+    pairs AS (SELECT a.{key}, a.line_no, a.part_no, CASE WHEN a.worked THEN a.expression ELSE b.expression END AS expr, CASE WHEN a.worked THEN a.v ELSE b.v END AS c, CASE WHEN a.worked THEN b.v ELSE a.v END AS s
+        FROM valued a JOIN valued b ON a.{key} = b.{key} AND a.line_no = b.line_no AND b.part_no = a.part_no + 1 WHERE a.v IS NOT NULL AND b.v IS NOT NULL AND (a.worked OR b.worked)),
+    checks AS (SELECT {key}, (row_number() OVER (PARTITION BY {key} ORDER BY line_no, part_no) - 1)::INTEGER AS check_no, expr, c::VARCHAR AS computed, s::VARCHAR AS stated, c = s AS ok FROM pairs)"""
+
+
+_TOLD = f"WITH {_REPLIES}, told AS (SELECT sft_id, reply FROM replies WHERE reply IS NOT NULL)"
+_SAID = f"WITH said AS (SELECT record_id, completion, {Q.clean('completion')} AS solution FROM {Q.RECORDS} WHERE completion IS NOT NULL)"
+
+
+def _fixed(text: str) -> str:
+    """`fixed(record_id, corrected_answer)` from `said` and `checks`."""
+    return f"""answers AS (SELECT record_id, {Q.extracted(text)} AS answer FROM said), stated AS (SELECT record_id, answer, {_value('answer')} AS v FROM answers),
+    fixed AS (SELECT record_id, min_by(computed, check_no) AS corrected_answer FROM checks JOIN stated USING (record_id) WHERE NOT ok AND stated = v::VARCHAR GROUP BY record_id)"""
 
 
 def _of_reply(sql: str, name: str) -> str:
@@ -224,7 +254,14 @@ ORACLES = {
     "reward_batch": f"{_GRADED} SELECT record_id, CASE WHEN ok THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS reward FROM graded",
     "agreement_rate": f"{_GRADED} SELECT run_id, avg(ok::INTEGER) AS agreement, count(*) AS n FROM graded GROUP BY run_id",
     "arith_normalise": f"WITH {_REPLIES} SELECT sft_id, {Q.arithmetic('reply')} AS plain FROM replies WHERE reply IS NOT NULL",
-    "arith_candidate": _CANDIDATES,
+    "arith_candidate": f"{_TOLD}, {_parts('told', 'sft_id', 'reply')} SELECT * FROM candidates",
+    "safe_arith": f"{_TOLD}, {_parts('told', 'sft_id', 'reply')} SELECT DISTINCT expression, ({_value('expression')})::VARCHAR AS value FROM candidates WHERE expression IS NOT NULL",
+    "check_arithmetic": f"{_TOLD}, {_checks('told', 'sft_id', 'reply')} SELECT * FROM checks",
+    "arith_errors": f"{_TOLD}, {_checks('told', 'sft_id', 'reply')} SELECT sft_id, count(check_no)::INTEGER AS n_checked, coalesce(sum((NOT ok)::INTEGER), 0)::INTEGER AS n_errors FROM told LEFT JOIN checks USING (sft_id) GROUP BY sft_id",
+    "corrected_answer": f"{_SAID}, {_checks('said', 'record_id', 'completion')}, {_fixed('completion')} SELECT * FROM fixed",
+    "solve_result": f"""{_SAID}, {_checks('said', 'record_id', 'solution')}, {_fixed('solution')}, counted AS (SELECT record_id, count(*) AS n, sum((NOT ok)::INTEGER) AS e FROM checks GROUP BY record_id)
+        SELECT record_id, solution, answers.answer AS raw_answer, coalesce(corrected_answer, answers.answer) AS answer, coalesce(n, 0)::INTEGER AS checked, coalesce(e, 0)::INTEGER AS errors, corrected_answer IS NOT NULL AS corrected
+        FROM said JOIN answers USING (record_id) LEFT JOIN fixed USING (record_id) LEFT JOIN counted USING (record_id)""",
     "clean_solution": f"SELECT record_id, {Q.clean('completion')} AS solution FROM {Q.RECORDS}",
     "chunk_text": f"SELECT record_id, (i // {CHUNK})::INTEGER AS piece_no, substring(completion, (i + 1)::BIGINT, {CHUNK}) AS piece FROM (SELECT record_id, completion, unnest(range(0, length(completion), {CHUNK})) AS i FROM {Q.RECORDS})",
     "truncate_at_box": rf"SELECT record_id, CASE WHEN regexp_matches(completion, '\\boxed\{{[^}}]*\}}') THEN regexp_extract(completion, '(?s)^.*?\\boxed\{{[^}}]*\}}') ELSE completion END AS text FROM {Q.RECORDS}",

@@ -78,7 +78,12 @@ def sft_omi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mixed(spark: SparkSession, sf: str) -> DataFrame:
-    return D.mix({"gsm8k": sft_gsm8k(spark, sf), "math": sft_math(spark, sf), "omi": sft_omi(spark, sf)})
+    """All three sources; the boxed ending is made once, over their union."""
+    others = D.with_answer(_pairs(spark, sf).where("source IN ('math', 'omi') AND problem IS NOT NULL AND solution IS NOT NULL").withColumn("answer", A.extract_answer(F.col("solution"))), "answer")
+    columns = ["sft_id", "problem", "solution", "answer"]
+    omi = head(others.where("source = 'omi'").select(*columns), ["sft_id"], OMI_ROWS)
+    raw = D.mix({"gsm8k": _gsm(spark, sf).select(*columns), "math": others.where("source = 'math'").select(*columns), "omi": omi})
+    return D.with_boxed(raw, "solution", "answer").select("sft_id", "source", "source_rank", strip(F.col("problem")).alias("problem"), strip(F.col("boxed")).alias("solution"))
 
 
 def sft_mix(spark: SparkSession, sf: str) -> DataFrame:
@@ -179,6 +184,8 @@ ORACLES = {
     "sft_omi": _of_source("omi"),
     "sft_mix": f"{_MIX} SELECT sft_id, source, source_rank FROM boxed",
     "counts_by_source": f"{_MIX} SELECT source, count(*) AS n FROM boxed GROUP BY source",
+    "sft_jsonl": f"""{_MIX} SELECT sft_id, to_json({{'messages': [{{'role': 'system', 'content': {_SYSTEM}}}, {{'role': 'user', 'content': {Q.strip('problem')}}}, {{'role': 'assistant', 'content': {Q.strip('text')}}}]}})::VARCHAR AS line FROM boxed""",
+    "grpo_jsonl": f"WITH {_PROBLEMS} SELECT problem_id, to_json({{'problem': problem, 'answer': answer, 'source': source, 'level': level}})::VARCHAR AS line FROM answered WHERE source IN ('gsm8k', 'math')",
     "with_boxed": f"WITH {_RECORD_ENDS}, {_boxing('ends', 'record_id')} SELECT record_id, text AS boxed FROM boxed",
     "drop_empty_answers": f"WITH {_PROBLEMS} SELECT problem_id, answer FROM answered",
     "omi_subset": f"WITH {_PROBLEMS} SELECT problem_id, problem, answer FROM answered WHERE source = 'omi' ORDER BY problem_id LIMIT {OMI_ROWS}",
