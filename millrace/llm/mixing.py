@@ -6,7 +6,7 @@ subset sum then chooses further documents by length so that what remains is fill
 length are used is decided by a seeded rank.
 
 Defined results: null and empty texts have no size and are used never; a source without a target, or a target without
-documents, takes no part (the other shares are kept relative to each other); a repeated id counts once; extra columns are
+documents, takes no part (the other shares are kept relative to each other); a repeated id or target counts once; extra columns are
 ignored; an empty table gives an empty result.
 """
 
@@ -107,6 +107,7 @@ def mix(records: DataFrame, targets: DataFrame, *, total: int | None = None, see
     goals = targets.where(F.col("subset").isNotNull() & (F.col("target_share") > 0)).select(
         clean_key(F.col("subset")).alias("key"), F.trim("subset").alias("subset"), "target_share", F.greatest(F.coalesce("max_repeat", F.lit(1)), F.lit(1)).alias("max_repeat")
     )
+    goals = goals.groupBy("key").agg(F.min("subset").alias("subset"), F.max("target_share").alias("target_share"), F.max("max_repeat").alias("max_repeat"))
     sized = records.where(F.col("id").isNotNull() & (F.length("text") > 0)).select(F.col("id").cast("long").alias("id"), clean_key(F.col("subset").cast("string")).alias("key"), F.length("text").alias("length"))
     sized = materialise(sized.groupBy("id").agg(F.min_by("key", "length").alias("key"), F.min("length").alias("length")).where(F.col("key").isNotNull()), "sized")
     histogram = sized.groupBy("key", "length").agg(F.count(F.lit(1)).alias("n"))

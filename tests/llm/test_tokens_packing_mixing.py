@@ -121,7 +121,7 @@ def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, "x" * rng.randint(1, 40), rng.choice(["A", " a", "B", "b ", None, "other"])) for i in range(900)] + [(0, "x" * 20, "A"), (1000, None, "A"), (1001, "", "B"), (None, "x", "A")]
     df = spark.createDataFrame(rows, "id long, text string, subset string").withColumn("length", F.lit("z"))
-    targets = spark.createDataFrame([("A", 0.75, 3), ("B", 0.25, 1), ("C", 0.0, 1), (None, 0.5, 1)], "subset string, target_share double, max_repeat int")
+    targets = spark.createDataFrame([("A", 0.75, 3), ("A", 0.75, 3), ("B", 0.25, 1), ("C", 0.0, 1), (None, 0.5, 1)], "subset string, target_share double, max_repeat int")
     uses, report = mixing.mix(df, targets)
     shares = {r.subset: r for r in report.collect()}
     assert set(shares) == {"A", "B"}
