@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,19 +88,21 @@ def _records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def _near(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """Members and links of both tables, whose jobs run side by side."""
+    records = _records(spark, sf_dir)
+    with ThreadPoolExecutor(len(records)) as pool:
+        running = {name: pool.submit(nd.links, df, **NEAR) for name, df in records.items()}
+        return {name: r.result() for name, r in running.items()}
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for name, records in _records(spark, sf_dir).items():
-        members, linked = nd.links(records, **NEAR)
-        parts.append(nd.pairs(members, linked).select(F.lit(name).alias("table_name"), "id_a", "id_b"))
+    parts = [nd.pairs(*found).select(F.lit(name).alias("table_name"), "id_a", "id_b") for name, found in _near(spark, sf_dir).items()]
     return parts[0].unionByName(parts[1])
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = []
-    for name, records in _records(spark, sf_dir).items():
-        members, linked = nd.links(records, **NEAR)
-        parts.append(nd.groups(members, linked).select(F.lit(name).alias("table_name"), "id", "rep", "group_id", "n_links"))
+    parts = [nd.groups(*found).select(F.lit(name).alias("table_name"), "id", "rep", "group_id", "n_links") for name, found in _near(spark, sf_dir).items()]
     return parts[0].unionByName(parts[1])
 
 
