@@ -48,6 +48,23 @@ _CHAT = "(SELECT sft_id, array_to_string(list_transform(list_filter(messages, la
 _LEAK = f"""WITH {_triples('e', 'eval_row', 'eval_id', 'problem')}, {_triples('d', 'documents', 'doc_id', 'text')},
     met AS (SELECT e_t.id AS a, d_t.id AS b, count(*) AS k FROM e_t JOIN d_t USING (t) GROUP BY ALL)"""
 
+# Joining rank by rank is the same as joining the least rank again and again, as no merge makes a pair of a lower rank.
+_RUNS = rf"' ?[\p{{L}}\p{{Nl}}\p{{No}}]+| ?\p{{Nd}}{{1,3}}| ?[^\p{{L}}\p{{N}}_{_SPACE}]+|[{_SPACE}]+|_+'"
+_TOKENS = rf"""WITH runs AS (SELECT doc_id, unnest(regexp_extract_all(text, {_RUNS})) AS piece FROM documents),
+    ranked AS (SELECT list({{'t': '', 'a': chr(1) || left_piece || chr(2) || chr(1) || right_piece || chr(2), 'b': chr(1) || left_piece || right_piece || chr(2)}} ORDER BY merge_rank) AS m FROM tokenizer_merge),
+    pieces AS (SELECT DISTINCT piece FROM runs), split AS (SELECT piece, regexp_replace(piece, '(?s)(.)', chr(1) || '\1' || chr(2), 'g') AS t FROM pieces),
+    joined AS (SELECT piece, list_reduce(list_prepend({{'t': t, 'a': '', 'b': ''}}, m), lambda x, y: {{'t': replace(x.t, y.a, y.b), 'a': '', 'b': ''}}).t AS t FROM split, ranked),
+    counted AS MATERIALIZED (SELECT piece, length(t) - length(replace(t, chr(2), '')) AS n FROM joined),
+    tokens AS (SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_tokens FROM documents d LEFT JOIN runs USING (doc_id) LEFT JOIN counted USING (piece) GROUP BY d.doc_id)"""
+
+
+def _cleaned(x: str) -> str:
+    return rf"coalesce(nullif(lower(trim(regexp_replace({x}, '\s+', ' ', 'g'))), ''), '(missing)')"
+
+
+_KEYS = f"""(SELECT doc_id, {_cleaned('subset')} AS subset, {_cleaned('source')} AS source, coalesce(nullif(regexp_split_to_array({_cleaned('lang')}, '[-_]')[1], 'und'), '(missing)') AS language,
+    {_cleaned("regexp_extract(meta, '[''" + '"' + "]domain[''" + '"' + "]\\s*:\\s*[''" + '"' + "]([^''" + '"' + "]*)[''" + '"' + "]', 1)")} AS domain FROM documents)"""
+
 ORACLES: dict[str, str] = {
     "p1_found": f"{_OVERLAP} SELECT a AS eval_id, b AS problem_id FROM pairs",
     "p1_split_source": f"""{_OVERLAP}, starts AS (SELECT DISTINCT a, b, i FROM pairs JOIN (SELECT id, unnest(range(1, len(w) - 1)) AS i, w FROM e_w) e ON e.id = a JOIN g_t ON g_t.id = b AND g_t.t = w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]),
@@ -59,5 +76,9 @@ ORACLES: dict[str, str] = {
     FROM documents WHERE length(text) > 4000""",
     "p3_found": f"SELECT 'documents' AS table_name, a AS id_a, b AS id_b FROM {_near('d', 'documents', 'doc_id', 'text')} UNION ALL SELECT 'sft', a, b FROM {_near('s', _CHAT, 'sft_id', 'said')}",
     "p3_groups": f"SELECT 'documents' AS table_name, id, rep, group_id, n_links FROM {_groups('d', 'documents', 'doc_id', 'text')} UNION ALL SELECT 'sft', id, rep, group_id, n_links FROM {_groups('s', _CHAT, 'sft_id', 'said')}",
+    "p6_doc_tokens": f"{_TOKENS} SELECT doc_id, n_tokens FROM tokens",
+    "p6_token_budget": f"""{_TOKENS}, keyed AS (SELECT * FROM tokens JOIN {_KEYS} USING (doc_id)),
+    cells AS (SELECT 'subset' AS dimension, subset AS value, n_tokens FROM keyed UNION ALL SELECT 'source', source, n_tokens FROM keyed UNION ALL SELECT 'language', language, n_tokens FROM keyed UNION ALL SELECT 'domain', domain, n_tokens FROM keyed)
+    SELECT dimension, value, count(*) AS n_docs, sum(n_tokens)::BIGINT AS n_tokens FROM cells GROUP BY dimension, value""",
     "p8_found": f"{_LEAK} SELECT a AS eval_id, b AS doc_id FROM met JOIN e_n ON e_n.id = a WHERE k / n >= 0.5",
 }
