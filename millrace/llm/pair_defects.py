@@ -67,7 +67,13 @@ REFUSALS = re.compile(
 )
 # Placeholders that carry no content, and words that lead to a result.
 EMPTY = re.compile(r"^(?:[\W_]*|n/?a|null|none|nan|\[?no (?:output|answer|response)\]?|\[?empty\]?|\[?blank\]?|(?:the final answer is|answer)?[\s:$#]*\\boxed\{\s*\}[\s.$*]*)$")
-RESULT_WORDS = re.compile(r"answer|result|hence|thus|réponse|résultat|respuesta|resultado|antwort|ergebnis|ответ|получ|итак|答案|结果|所以|最终|####")
+FINAL_WORDS = re.compile(
+    r"""\bfinal\ (?:answer|result|value)\b|\b(?:réponse\ finale|résultat\ final|respuesta\ final|resultado\ final|endergebnis|endgültige\ antwort)\b|окончательный\ (?:ответ|результат)|最终(?:答案|结果)|\#{4}""",
+    re.VERBOSE,
+)
+RESULT_WORDS = re.compile(r"(?<!\bto )\banswer\b|\b(?:result|réponse|résultat|respuesta|resultado|antwort|ergebnis|ответ|результат)\b|答案|结果")
+# Words that lead to any step; they state the result only where no further number follows.
+STEP_WORDS = re.compile(r"\b(?:answers?|results?|hence|thus|resulta|получ\w*|итак)\b|所以|最终")
 _VALUE = re.compile(r"[-+−$\\(\[]*\s*(?:\\(?:frac|dfrac|tfrac|sqrt|text|boxed|mathrm)\s*\{.*\}|[-+−]?\d[\d.,]*)(?:\s*(?:/|:|\^|\\%|%|,)?\s*[-+−]?[\d.]*)*[\s$)\]}.*!%°]*\S{0,12}[\s.*$]*")
 _BOX = re.compile(r"\\boxed\s*\{\s*[^\s{}]")
 _EQUATION = re.compile(r"\d\s*(?:[-+*/^×·÷]|\\cdot|\\times)\s*\(?-?\d|=\s*\$?-?\d|<<")
@@ -78,6 +84,8 @@ _LABELS = 40
 _CUES = 48
 FEATURES = _CUES + _HASHED
 _LETTERS = re.compile(r"(?<!\\)\b[^\W\d_]{2,}")
+#: How a clause states a result: not at all, as a bare short response, as the conclusion of a step, as a value or announced, as final.
+NOT, BARE, CONCLUDED, ANNOUNCED, FINAL = range(5)
 
 
 class _Slots(dict):
@@ -127,7 +135,7 @@ class Response:
         self.clauses: list[list[int]] = []
         self.cues: list[int] = []
         self.sizes: list[int] = []
-        self.results: list[bool] = []
+        self.results: list[int] = []
         self.equations: list[bool] = []
         low = folded(text).strip()
         self.empty = bool(EMPTY.match(low))
@@ -140,6 +148,7 @@ class Response:
         own = language(folded(question), asked) if asked else ""
         parts = [p for p in _CLAUSE.split(low) if p.strip(" \t\r*_>#-$.")]
         parts = parts or [low]
+        numbered = max((i for i, p in enumerate(parts) if any(c.isdigit() for c in p)), default=0)
         for i, part in enumerate(parts):
             part = part.strip().strip("*_ ")
             w = words(part)
@@ -149,14 +158,20 @@ class Response:
             echoed = sum(c in pairs for c in couples) / len(couples) if couples else 0.0
             value = bool(_VALUE.fullmatch(part)) and closed(part)
             box = bool(_BOX.search(part)) and closed(part)
-            stated = box or value or (bool(RESULT_WORDS.search(part)) and any(c.isdigit() for c in part) and closed(part))
+            whole = closed(part)
+            told = NOT
+            if whole and any(c.isdigit() for c in part):
+                told = FINAL if FINAL_WORDS.search(part) else ANNOUNCED if RESULT_WORDS.search(part) else CONCLUDED if STEP_WORDS.search(part) else NOT
+            told = FINAL if box else max(told, ANNOUNCED) if value else told
+            stated = told > NOT
             spoken = language(part, [x for x in w if not x.isdigit()] if value else new or w)
             other = bool(own and spoken and spoken != own and echoed < 0.6)
             equation = echoed < 0.6 and bool(_EQUATION.search(part))
             refusing = not equation and not stated and bool(REFUSALS.search(part))
-            whole = closed(part)
             last = i == len(parts) - 1
-            result = stated and echoed < 0.8 or (short and whole and not refusing and len(w) <= 12 and echoed < 0.8)
+            result = NOT if echoed >= 0.8 or told == CONCLUDED and i < numbered else told
+            if not result and short and whole and not refusing and len(w) <= 12 and echoed < 0.8:
+                result = BARE
             cue = [
                 0, 1 + min(4, int(shared * 5)), 6 + min(4, int(echoed * 5)), 11 + value, 13 + stated, 15 + other, 17 + refusing, 19 + equation,
                 21 + whole, 23 + last, 25 + (i == 0), 27 + (part[-1:] in ".!?。！？*$}"), 29 + min(3, len(w) // 3), 33 + short, 35 + (last and not whole),
@@ -192,7 +207,13 @@ def defect(response: Response, tags: list[int]) -> str | None:
     covered = [0] * 5
     for tag, size in zip(tags, response.sizes, strict=True):
         covered[tag] += size
-    stated = any(r and t in (ANSWER, FOREIGN) for r, t in zip(response.results, tags, strict=True))
+    told = [r if t in (ANSWER, FOREIGN) else NOT for r, t in zip(response.results, tags, strict=True)]
+    if tags[-1] == UNFINISHED:
+        # The response breaks off: what an earlier step came to is no result, unless it is announced as final or just before the break.
+        before = told[-2] if len(told) > 1 else NOT
+        stated = FINAL in told or before in (BARE, ANNOUNCED) or response.results[-1] >= ANNOUNCED
+    else:
+        stated = any(told)
     worked = any(e and t in (ANSWER, FOREIGN, UNFINISHED) for e, t in zip(response.equations, tags, strict=True))
     spoken = sum(covered) - covered[ECHO]
     if covered[REFUSAL] and not stated and (not worked or covered[REFUSAL] >= 0.5 * spoken):

@@ -41,6 +41,27 @@ def test_defects(spark):
     assert P.find_defects(df.limit(0), P.train(df.limit(0))).count() == 0
 
 
+SPANISH = "En el puesto hay 744 cajas y llegan otras 156. Cada una pesa 4 kilos. ¿Cuántos kilos son?"
+BROKEN_OFF = [
+    (SPANISH, "Entonces resulta 744 + 156 = 900.\nEso da 900 * 4 =", "truncated"),
+    (QUESTION, "Thus we get 12 - 5 = 7.\nNow, using the", "truncated"),
+    (QUESTION, "The result is 17.\nThen 17 - 5 = 12.\nNext, using the", "truncated"),
+    (QUESTION, "Hence 12 + 5 = 17.\nNext we take 10 from it.", "truncated"),
+    (SPANISH, "Entonces tenemos 744 + 156 = 900.\nEntonces resulta 900 * 4 = 3600.", None),
+    (QUESTION, "Thus 12 - 5 = 7.", None),
+    (QUESTION, "Hence 12 - 5 = 7.\nThis ends the work.", None),
+    (QUESTION, "The final answer is 7.\nCheck: 7 + 5 = 12.\nNow, using the", None),
+    (QUESTION, "First, 12 - 5 = 7.\nThe answer is 7.\nNow, using the", None),
+    (QUESTION, "So \\boxed{7}.\nCheck: 7 + 5 = 12.\nNow, using the", None),
+]
+
+
+def test_responses_that_break_off(spark):
+    rows = [("t", i, q, r, False) for i, (q, r, *_) in enumerate(BROKEN_OFF)]
+    df = spark.createDataFrame(rows, "table_name string, id long, question string, response string, short boolean")
+    assert {r.id: r.defect for r in P.find_defects(df, P.train(df)).collect()} == {i: c[2] for i, c in enumerate(BROKEN_OFF) if c[2]}
+
+
 def test_chat_pair(spark):
     schema = "i int, m array<struct<role:string,content:string>>"
     rows = [(1, [("User", "q1"), ("assistant", "a1"), ("user", "q2"), ("Assistant", "a2")]), (2, [("user", "q")]), (3, None), (4, [("user", "q"), ("assistant", None)]), (5, [])]
