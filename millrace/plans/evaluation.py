@@ -82,7 +82,7 @@ def reward_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def live_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    return stream_accuracy(spark, f"{sf}/eval_record.parquet", ["level"], "correct")
+    return stream_accuracy(spark, f"{sf}/eval_record.parquet", ["level"], "correct", key="record_id", answers=("completion", "gold"))
 
 
 QUERIES = [

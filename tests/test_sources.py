@@ -71,6 +71,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert found == {level: (20, 10) for level in range(3)}
 
 
+def test_stream_grades_and_counts_records_once(spark, tmp_path):
+    def row(i):
+        return (i, i % 3, i % 2 == 0, "7", f"so\n#### {7 if i % 4 else 8}" if i else None)
+
+    schema = "record_id long, level int, correct boolean, gold string, completion string"
+    for part in (range(30), range(20, 60)):  # ten records come again in a later file
+        spark.createDataFrame([row(i) for i in part] + [row(part[0])], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = stream_accuracy(spark, str(tmp_path / "in"), ["level"], "correct", 1, key="record_id", answers=("completion", "gold"))
+    assert {r.level: (r.n, r.correct) for r in live.collect()} == {level: (20, sum(1 for i in range(60) if i % 3 == level and i % 4)) for level in range(3)}
+
+
 def test_generation(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "p string")
     found = {r.p: r.completion for r in with_completions(df, "p", oracle({"a": "1"})).collect()}
