@@ -19,8 +19,8 @@ from millrace.functions.comparison import verdict
 
 _TOKEN = re.compile(r"\s*(\d+\.\d+|\.\d+|\d+|sqrt|pi|[A-Za-z]|\*\*|[-+*/^()])")
 _MACROS = ((r"\cdot", "*"), (r"\times", "*"), (r"\div", "/"), (r"\pi", "pi"))
-#: Largest exponent, number of terms and length of text that are worked out.
-MOST_POWER, MOST_TERMS, MOST_CHARS = 40, 400, 400
+#: Largest exponent, number of terms, length of text and number under a root that are worked out.
+MOST_POWER, MOST_TERMS, MOST_CHARS, MOST_RADICAND = 40, 400, 400, 10**9
 
 Poly = dict[tuple[tuple[str, int], ...], Fraction]
 
@@ -29,6 +29,10 @@ class Unclear(Exception):
     """The text is no expression of the supported kind."""
 
 
+class Beyond(Unclear):
+    """The expression is larger than what is worked out."""
+
+
 def _add(a: Poly, b: Poly, sign: int = 1) -> Poly:
     out = dict(a)
     for k, v in b.items():
@@ -52,7 +56,7 @@ def _times(a: Poly, b: Poly, roots: dict[str, Poly]) -> Poly:
                 part = _times(part, more, roots)
             out = _add(out, part)
             if len(out) > MOST_TERMS:
-                raise Unclear
+                raise Beyond
     return out
 
 
@@ -68,8 +72,10 @@ class Parser:
                 raise Unclear
             self.tokens.append(match.group(1))
             at = match.end()
-        if not self.tokens or len(text) > MOST_CHARS:
+        if not self.tokens:
             raise Unclear
+        if len(text) > MOST_CHARS:
+            raise Beyond
 
     def peek(self) -> str:
         return self.tokens[self.at] if self.at < len(self.tokens) else ""
@@ -119,8 +125,10 @@ class Parser:
             if any(k != () for k in num) or any(k != () for k in den):
                 raise Unclear
             n = num.get((), Fraction(0)) / den[()]
-            if n.denominator != 1 or abs(n) > MOST_POWER:
+            if n.denominator != 1:
                 raise Unclear
+            if abs(n) > MOST_POWER:
+                raise Beyond
             if n < 0:
                 base = base[1], base[0]
                 if not base[1]:
@@ -163,8 +171,10 @@ class Parser:
             number = inside[()]
             den = self.mul(den, {(): Fraction(number.denominator)})
             rest = number.numerator * number.denominator
-            if rest < 0 or rest > 10**9:
+            if rest < 0:
                 raise Unclear
+            if rest > MOST_RADICAND:
+                raise Beyond
             k = 2
             while k * k <= rest:
                 while rest % (k * k) == 0:
@@ -187,16 +197,23 @@ def plain_text(latex: str) -> str:
     return re.sub(r"\\[a-zA-Z]+", "", t).replace("{", "(").replace("}", ")").strip()
 
 
-def equal(a: str, b: str) -> bool:
-    """Whether two normal forms are the same expression; false if either is none."""
+def compared(a: str, b: str) -> bool | None:
+    """Whether two normal forms are the same expression; false if either is none, null if either is larger than what is worked out."""
     roots: dict[str, Poly] = {}
     try:
         (n_a, d_a), (n_b, d_b) = (Parser(plain_text(x), roots).whole() for x in (a, b))
         return not _add(_times(n_a, d_b, roots), _times(n_b, d_a, roots), -1)
-    except (Unclear, RecursionError, ZeroDivisionError, KeyError):
+    except (Beyond, RecursionError):
+        return None
+    except (Unclear, ZeroDivisionError, KeyError):
         return False
 
 
+def equal(a: str, b: str) -> bool:
+    """Whether two normal forms are found to be the same expression; undecided pairs count as different."""
+    return bool(compared(a, b))
+
+
 def _equal_pairs(p: pd.Series, g: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else equal(a, b) for a, b in zip(p, g, strict=True)], dtype="object")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from millrace.functions import answers as A
 from millrace.functions import arithmetic as M
 from millrace.functions import cleaning as X
 from millrace.functions import comparison as N
-from millrace.functions.symbolic import equal, with_equivalence
+from millrace.functions.symbolic import compared, with_equivalence
 from millrace.operators import chat as D
 from millrace.operators import grading as G
 from millrace.plans import sqltext as Q
@@ -100,11 +101,13 @@ def answers_equivalent(spark: SparkSession, sf: str) -> DataFrame:
 
 def symbolic_equal(spark: SparkSession, sf: str) -> DataFrame:
     forms = N.normalise(F.col("answer"))
-    rows = _forms(spark, sf).select(forms.alias("p"), F.concat(F.lit("("), forms, F.lit(")*1")).alias("g")).distinct()
+    rows = _forms(spark, sf).select(forms.alias("p"), F.concat(F.lit("("), forms, F.lit(")*1")).alias("g"))
+    left = _records(spark, sf, "predicted", "gold").select(N.verdict(F.col("predicted"), F.col("gold")).alias("v")).select("v.p", "v.g")
+    rows = rows.unionByName(left.where("p IS NOT NULL AND g IS NOT NULL")).distinct()
 
     def compare(parts):
         for part in parts:
-            yield part.assign(equal=[equal(p, g) for p, g in zip(part["p"], part["g"], strict=True)])
+            yield part.assign(equal=pd.Series([compared(p, g) for p, g in zip(part["p"], part["g"], strict=True)], index=part.index, dtype="object"))
 
     return rows.mapInPandas(compare, "p string, g string, equal boolean")
 
