@@ -1,12 +1,15 @@
 """Problem 4: answers that fail their question.
 
 A response is cut into clauses. A conditional random field tags each as answer, refusal, echo (of the question), foreign (in
-another language than the question) or unfinished; the words under each tag decide on the defect of the pair. No ratings of
-responses exist, so the field is fitted on clauses of a bounded sample that cue lists label; its word features carry what it
-learns over to wordings that the lists lack.
+another language than the question) or unfinished (work that breaks off before a result). Its features are what a clause
+shares with the question, its characters' language against the question's, its shape, its place and its words. The words that each
+tag is expected to cover, as shares of the response, then decide on the defect by a softmax regression. Nothing is looked up in word lists.
+
+No ratings of responses exist. Field and regression are fitted on examples made from a bounded sample of the pairs at hand
+(`defect_examples`): sound responses as they are, cut off, in other languages or behind the question, copies of questions, and refusals.
 
 Defined results: a null, blank or placeholder response, or no response, is `empty`; a null question has no language and nothing to
-echo; a repeated id gives one row; extra columns are ignored; an empty table gives an empty result.
+echo; a repeated id gives a row for each defect of its rows; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,209 +23,306 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm import languages as L
 from millrace.llm.arrow import pieces, values
 from millrace.llm.crf import Chains, Field
-from millrace.llm.text import INVISIBLE, folded, words
+from millrace.llm.text import INVISIBLE, WORD, folded, words
 
 ANSWER, REFUSAL, ECHO, FOREIGN, UNFINISHED = range(5)
-DEFECTS = ("empty", "truncated", "refusal", "copy", "language")
-#: Rows whose clauses the field is fitted on at the most.
-MOST_ROWS = 4000
-#: Weight that a cue label starts with; fitting moves it.
-CUE_WEIGHT = 6.0
-
-# Frequent words, numerals among them, by which the languages of the tables are told apart.
-LANGUAGE_WORDS = {
-    "en": """the of and is are was were to in at on for that with from by it this what how many which he she they we you have has had not no
-        none all but one two three four five six seven eight nine ten eleven twelve hundred thousand forty answer result final so hence therefore first
-        next gives after step total number real solution undefined them can cannot could i my your help question task find out each more""",
-    "de": """der die das des dem den ein eine einen einem und ist sind es von zu mit für auf im am aus nach bei nicht noch wie viele
-        also ergibt sich daraus folgt zuerst rechnen wir diesem schritt antwort ergebnis lautet keine kein lösung möglich drittel davon stück dabei
-        ich kann diese frage leider hat jetzt übrig eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf hundert tut mir leid helfen""",
-    "fr": """le la les un une des du de et est sont il elle à au aux en dans pour sur avec que qui ne pas plus combien cette ce on donc
-        obtient cela donne après étape calcule abord réponse résultat aucune aucun valeur possible tiers caisses je peux désolé question
-        deux trois quatre cinq six sept huit neuf dix onze douze cent quarante mille vous aider répondre""",
-    "es": """el la los las un una unos unas del de y es son en para por con que no se al cuántas cuántos cuántas esta este hay más
-        entonces resulta primero calculamos después paso respuesta resultado ningún ninguna valor posible tercio total cajas lo siento
-        puedo ayudar pregunta dos tres cuatro cinco seis siete ocho nueve diez once doce cien ciento cuarenta mil obtiene queda""",
-}
-_OF_WORD: dict[str, set[str]] = {}
-for _language, _listed in LANGUAGE_WORDS.items():
-    for _word in _listed.split():
-        _OF_WORD.setdefault(_word, set()).add(_language)
-# Letters and endings that only one of these languages has.
-_MARKS = {"de": re.compile("[äöüß]|(?:und|ein)\\w*zig\\b|(?:zehn|hundert)"), "fr": re.compile("[éèêëàâçœîôûù]"), "es": re.compile("[ñáíóú¿¡]")}
-_CYRILLIC, _HAN = re.compile("[\u0400-\u04ff]"), re.compile("[\u4e00-\u9fff]")
-
-# Wordings of a refusal.
-REFUSALS = re.compile(
-    r"""\b(?:i|we)\ (?:cannot|can't|can\ not|won't|will\ not|must|have\ to|am\ unable|am\ not\ able|do\ not\ wish|decline|refuse|would\ rather\ not)\b
-    |\b(?:unable|not\ able)\ to\b|\brather\ not\b|\bdecline\b|\brefuse\b|\bno\ answer\ (?:can|will)\b|\bwon't\ be\b|\boutside\ what\ i\b|\bask\ (?:a\ teacher|something\ else)
-    |\bconsult\ a\ teacher|\blanguage\ model\b|\bcould\ be\ unsafe|\bcan't\ help\b|\bcannot\ (?:assist|help)|\bsorry,\ (?:but|unable)|\banything\ else,
-    |\btut\ mir\ leid|\bnicht\ (?:helfen|beantworten|lösen)|\blieber\ nicht|\bkann\ ich\ (?:nicht|leider)|\bleider\ kann|\bablehnen
-    |\bje\ ne\ (?:peux|suis|souhaite|veux)|\bdésolée?\b|\bpréfère\ ne\ pas|\bpréférerais\ ne|\brefuser?\b
-    |\blo\ siento|\bno\ (?:puedo|contestar|responder|es\ posible\ ayudar)|\bprefiero\ no|\bpreferiría\ no
-    |не\ могу|не\ буду|отказ|извините|простите|к\ сожалению|не\ стану|предпоч[её]л|抱歉|对不起|无法|不能|不便|拒绝|不想""",
-    re.VERBOSE,
-)
-# Placeholders that carry no content, and words that lead to a result.
-EMPTY = re.compile(r"^(?:[\W_]*|n/?a|null|none|nan|\[?no (?:output|answer|response)\]?|\[?empty\]?|\[?blank\]?|(?:the final answer is|answer)?[\s:$#]*\\boxed\{\s*\}[\s.$*]*)$")
-FINAL_WORDS = re.compile(
-    r"""\bfinal\ (?:answer|result|value)\b|\b(?:réponse\ finale|résultat\ final|respuesta\ final|resultado\ final|endergebnis|endgültige\ antwort)\b|окончательный\ (?:ответ|результат)|最终(?:答案|结果)|\#{4}""",
-    re.VERBOSE,
-)
-RESULT_WORDS = re.compile(r"(?<!\bto )\banswer\b|\b(?:result|réponse|résultat|respuesta|resultado|antwort|ergebnis|ответ|результат)\b|答案|结果")
-# Words that lead to any step; they state the result only where no further number follows.
-STEP_WORDS = re.compile(r"\b(?:answers?|results?|hence|thus|resulta|получ\w*|итак)\b|所以|最终")
-_VALUE = re.compile(r"[-+−$\\(\[]*\s*(?:\\(?:frac|dfrac|tfrac|sqrt|text|boxed|mathrm)\s*\{.*\}|[-+−]?\d[\d.,]*)(?:\s*(?:/|:|\^|\\%|%|,)?\s*[-+−]?[\d.]*)*[\s$)\]}.*!%°]*\S{0,12}[\s.*$]*")
-_BOX = re.compile(r"\\boxed\s*\{\s*[^\s{}]")
-_EQUATION = re.compile(r"\d\s*(?:[-+*/^×·÷]|\\cdot|\\times)\s*\(?-?\d|=\s*\$?-?\d|<<")
-_OPEN_END = re.compile(r"(?:[-+*/=^,({\[<\\]|\\cdot|\\times|\b(?:of|the|a|to|and|or|we|is|by|with|then|second|first|that|for|as|number)|\[cut\]|<[^<>]*(?:max|length|limit|cut)[^<>]*>|\[[^\[\]]*(?:cut|truncated|limit)[^\[\]]*\])\s*$")
+TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
+#: Defects that the covered shares decide on; None is a sound pair. `empty` responses have no clause.
+DEFECTS = (None, "refusal", "copy", "language", "truncated")
+#: Rounds of fitting the field over its examples.
+EPOCHS = 25
+#: Pairs that the field is fitted on at the most, and characters of the longest text among them: bounds of the training sample only.
+MOST_ROWS, MOST_CHARS = 4000, 20_000
+
+# Placeholders that carry no content, beside responses without a letter or digit.
+PLACEHOLDERS = ("n/a", "na", "null", "none", "nan", "no output", "no answer", "no response", "empty", "blank", "boxed", "fbox")
 _CLAUSE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])|\n+")
-_HASHED = 4096
-_LABELS = 40
-_CUES = 48
-FEATURES = _CUES + _HASHED
-_LETTERS = re.compile(r"(?<!\\)\b[^\W\d_]{2,}")
-#: How a clause states a result: not at all, as a bare short response, as the conclusion of a step, as a value or announced, as final.
-NOT, BARE, CONCLUDED, ANNOUNCED, FINAL = range(5)
-
-
-class _Slots(dict):
-    """Feature numbers of words and pairs of words, apart for clauses in another language; kept while they fit."""
-
-    def __missing__(self, key: tuple) -> int:
-        if len(self) > 300_000:
-            self.clear()
-        found = self[key] = _CUES + zlib.crc32(repr(key).encode()) % _HASHED
+_LETTERS = re.compile(r"(?<![\\a-z])[^\W\d_]{2,}")
+_WORK = re.compile(r"\d\s*(?:[-+−*/^×·÷]|\\cdot|\\times)\s*\(?-?\d|=\s*\$?-?\d|<<")
+_BOX = re.compile(r"\\f?boxed\s*\{\s*[^\s{}]")
+_MACRO = re.compile(r"\\[a-z]+")
+_NO_BOX = re.compile(r"boxed\s*\{\s*\}")
+_BOLD = re.compile(r"^[*_]{2,}|[*_]{2,}$")
+# Kinds of last characters.
+_TAILS = {c: k for k, group in enumerate((".", "!?。！？", ":：", "=", "-+−*/×÷^·", "([{<\\", ")]}", "$", ",;，；", "_~#`\"'»”", "…", "0123456789"), 1) for c in group}
+_BITS = 16
+_HASHED = 1 << _BITS
+_SHAPE = 192
+FEATURES = _SHAPE + _HASHED
+_MARGINS = np.array([-9.0, -4, -2, -0.7, 0.7, 2, 4, 9])
+_MOST_WORDS = 300_000
+
+
+class Vocabulary(dict):
+    """Numbers of words, with the feature, the language scores and the kind of each; emptied when it has grown too large."""
+
+    def __init__(self, languages: L.Languages) -> None:
+        super().__init__()
+        self.languages = languages
+        self.reset()
+
+    def reset(self) -> None:
+        self.clear()
+        self.fresh: list[str] = []
+        self.slot, self.number = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.score = np.zeros((0, len(L.NAMES)), np.float32)
+
+    def __missing__(self, word: str) -> int:
+        found = self[word] = len(self)
+        self.fresh.append(word)
         return found
 
-
-_SLOTS = _Slots()
-
-
-def language(text: str, w: list[str]) -> str:
-    """The language of a folded text and its words, or '' if nothing tells it."""
-    letters = sum(map(len, w)) or 1
-    plain = text.isascii()
-    if not plain and len(_HAN.findall(text)) * 2 > letters * 0.3:
-        return "zh"
-    if not plain and len(_CYRILLIC.findall(text)) > 0.3 * letters:
-        return "ru"
-    score = dict.fromkeys(LANGUAGE_WORDS, 0.0)
-    for word in w:
-        if found := _OF_WORD.get(word):
-            for name in found:
-                score[name] += 1 / len(found)
-    if not plain or not any(score.values()):
-        for name, marks in _MARKS.items():
-            score[name] += 0.7 * len(marks.findall(text))
-    best = max(score, key=score.get)
-    return best if score[best] > 0 and score[best] > max(v for k, v in score.items() if k != best) else ""
-
-
-def closed(text: str) -> bool:
-    """Whether brackets, braces and dollar signs are paired and no operator or leading word stands at the end."""
-    pairs = text.count("{") == text.count("}") and text.count("(") == text.count(")")
-    return pairs and (text.count("$") - text.count("\\$")) % 2 == 0 and not _OPEN_END.search(text)
-
-
-class Response:
-    """A question and the clauses of its response, with the features and the cue label of each."""
-
-    def __init__(self, question: str | None, response: str | None, short: bool) -> None:
-        text = INVISIBLE.sub("", response) if response else ""
-        self.clauses: list[list[int]] = []
-        self.cues: list[int] = []
-        self.sizes: list[int] = []
-        self.results: list[int] = []
-        self.equations: list[bool] = []
-        low = folded(text).strip()
-        self.empty = bool(EMPTY.match(low))
-        if self.empty:
-            return
-        # A bare value is neither echo nor of a language; the question is read for other responses only.
-        bare = len(low) < 60 and bool(_VALUE.fullmatch(low)) and not _LETTERS.search(low)
-        asked = [] if bare else words(question)
-        known, pairs = set(asked), set(zip(asked, asked[1:], strict=False))
-        own = language(folded(question), asked) if asked else ""
-        parts = [p for p in _CLAUSE.split(low) if p.strip(" \t\r*_>#-$.")]
-        parts = parts or [low]
-        numbered = max((i for i, p in enumerate(parts) if any(c.isdigit() for c in p)), default=0)
-        for i, part in enumerate(parts):
-            part = part.strip().strip("*_ ")
-            w = words(part)
-            new = [x for x in w if x not in known]
-            shared = 1 - len(new) / len(w) if w else 0.0
-            couples = list(zip(w, w[1:], strict=False))
-            echoed = sum(c in pairs for c in couples) / len(couples) if couples else 0.0
-            value = bool(_VALUE.fullmatch(part)) and closed(part)
-            box = bool(_BOX.search(part)) and closed(part)
-            whole = closed(part)
-            told = NOT
-            if whole and any(c.isdigit() for c in part):
-                told = FINAL if FINAL_WORDS.search(part) else ANNOUNCED if RESULT_WORDS.search(part) else CONCLUDED if STEP_WORDS.search(part) else NOT
-            told = FINAL if box else max(told, ANNOUNCED) if value else told
-            stated = told > NOT
-            spoken = language(part, [x for x in w if not x.isdigit()] if value else new or w)
-            other = bool(own and spoken and spoken != own and echoed < 0.6)
-            equation = echoed < 0.6 and bool(_EQUATION.search(part))
-            refusing = not equation and not stated and bool(REFUSALS.search(part))
-            last = i == len(parts) - 1
-            result = NOT if echoed >= 0.8 or told == CONCLUDED and i < numbered else told
-            if not result and short and whole and not refusing and len(w) <= 12 and echoed < 0.8:
-                result = BARE
-            cue = [
-                0, 1 + min(4, int(shared * 5)), 6 + min(4, int(echoed * 5)), 11 + value, 13 + stated, 15 + other, 17 + refusing, 19 + equation,
-                21 + whole, 23 + last, 25 + (i == 0), 27 + (part[-1:] in ".!?。！？*$}"), 29 + min(3, len(w) // 3), 33 + short, 35 + (last and not whole),
-            ]
-            said = [x for x in new if not x.isdigit()]
-            kept = [(other, x) for x in said] + [(other, *c) for c in zip(said, said[1:], strict=False)]
-            found = cue + list(set(map(_SLOTS.__getitem__, kept)))
-            self.sizes.append(max(1, len(w)))
-            self.results.append(result)
-            self.equations.append(equation)
-            if refusing:
-                label = REFUSAL
-            elif other:
-                label = FOREIGN
-            elif echoed >= 0.6 and len(w) > 2 and not value:
-                label = ECHO
-            elif last and not whole and not stated:
-                label = UNFINISHED
-            elif equation or stated or result:
-                label = ANSWER
-            elif shared >= 0.5 and len(w) > 2:
-                label = ECHO
-            else:
-                label = UNFINISHED if last and part[-1:] not in ".!?。！？*$}" else ANSWER
-            self.cues.append(label)
-            self.clauses.append([*found, _LABELS + label])
-
-
-def defect(response: Response, tags: list[int]) -> str | None:
-    """The defect of a pair from the tags of its clauses: the words that each tag covers decide."""
-    if response.empty:
-        return "empty"
-    covered = [0] * 5
-    for tag, size in zip(tags, response.sizes, strict=True):
-        covered[tag] += size
-    told = [r if t in (ANSWER, FOREIGN) else NOT for r, t in zip(response.results, tags, strict=True)]
-    if tags[-1] == UNFINISHED:
-        # The response breaks off: what an earlier step came to is no result, unless it is announced as final or just before the break.
-        before = told[-2] if len(told) > 1 else NOT
-        stated = FINAL in told or before in (BARE, ANNOUNCED) or response.results[-1] >= ANNOUNCED
-    else:
-        stated = any(told)
-    worked = any(e and t in (ANSWER, FOREIGN, UNFINISHED) for e, t in zip(response.equations, tags, strict=True))
-    spoken = sum(covered) - covered[ECHO]
-    if covered[REFUSAL] and not stated and (not worked or covered[REFUSAL] >= 0.5 * spoken):
-        return "refusal"
-    if covered[FOREIGN] > 0.5 * spoken:
-        return "language"
-    if covered[ECHO] >= 0.5 * sum(covered) and not stated and not worked:
-        return "copy"
-    return None if stated else "truncated"
+    def numbers(self, found: list[str]) -> np.ndarray:
+        out = np.fromiter(map(self.__getitem__, found), np.int64, len(found))
+        if self.fresh:
+            new, self.fresh = self.fresh, []
+            self.slot = np.append(self.slot, [zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in new])
+            self.number = np.append(self.number, [w.isdigit() for w in new])
+            self.score = np.concatenate((self.score, self.languages.scores(new)))
+        return out
+
+
+def _member(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each key is among the known ones."""
+    if not len(known):
+        return np.zeros(len(keys), bool)
+    known = np.unique(known)
+    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+    return known[at] == keys
+
+
+def _share(hit: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    total = np.bincount(owner, minlength=n)
+    return np.bincount(owner, weights=hit, minlength=n) / np.maximum(total, 1), total
+
+
+def clauses_of(low: str) -> list[str]:
+    """The clauses of a folded response; none if it has no letter or digit, is a placeholder or announces an empty box."""
+    if " ".join(words(low)) in ("", *PLACEHOLDERS) or low.strip(" \t\r\n.-[]()<>") in PLACEHOLDERS:
+        return []
+    found = [p for p in (_BOLD.sub("", p.strip()).strip() for p in _CLAUSE.split(low)) if WORD.search(p)]
+    return [] if "boxed" in low and all(map(_NO_BOX.search, found)) else found
+
+
+class Pairs:
+    """Clauses and features of a batch of pairs (question, response, whether the response is a bare result)."""
+
+    def __init__(self, rows: list[tuple[str | None, str | None, bool]], vocabulary: Vocabulary) -> None:
+        if len(vocabulary) > _MOST_WORDS:
+            vocabulary.reset()
+        parts: list[str] = []
+        lengths, asked, asked_n = np.zeros(len(rows), np.int64), [], np.zeros(len(rows), np.int64)
+        for i, (question, response, _) in enumerate(rows):
+            found = clauses_of(folded(INVISIBLE.sub("", response))) if response else []
+            if not found:
+                continue
+            parts += found
+            lengths[i] = len(found)
+            # A response without any word of two letters is neither echo nor of a language: its question isn't read.
+            if question and any(map(_LETTERS.search, found)):
+                w = WORD.findall(_MACRO.sub(" ", folded(question)))
+                asked += w
+                asked_n[i] = len(w)
+        self.lengths, n = lengths, len(parts)
+        split = [WORD.findall(_MACRO.sub(" ", p)) for p in parts]
+        counts = np.array([len(w) for w in split], np.int64)
+        self.sizes = np.maximum(counts, 1)
+        ids = vocabulary.numbers([w for s in split for w in s])
+        q = vocabulary.numbers(asked)
+        pair = np.repeat(np.arange(len(rows)), lengths)
+        clause = np.repeat(np.arange(n), counts)
+        row, q_row = pair[clause], np.repeat(np.arange(len(rows)), asked_n)
+        number = vocabulary.number[ids] if n else np.zeros(0, bool)
+        wide = np.int64(len(vocabulary) + 1)
+        asked_already = _member(row * wide + ids, q_row * wide + q)
+        shared, _ = _share(asked_already, clause, n)
+        next_to = np.flatnonzero(clause[1:] == clause[:-1])
+        q_next = np.flatnonzero(q_row[1:] == q_row[:-1])
+        # Pairs of neighbouring words by a 64-bit mix; the row takes part in it.
+        couple = _mix(row[next_to], ids[next_to], ids[next_to + 1])
+        echoed, couples = _share(_member(couple, _mix(q_row[q_next], q[q_next], q[q_next + 1])), clause[next_to], n)
+        spoken = ~number & ~asked_already
+        score = np.zeros((n, len(L.NAMES)))
+        own = np.zeros((len(rows), len(L.NAMES)))
+        for k in range(len(L.NAMES)):
+            score[:, k] = np.bincount(clause[spoken], weights=vocabulary.score[ids[spoken], k], minlength=n)
+            own[:, k] = np.bincount(q_row, weights=vocabulary.score[q, k] * ~vocabulary.number[q], minlength=len(rows))
+        mine = own.argmax(axis=1)[pair]
+        here = score[np.arange(n), mine]
+        score[np.arange(n), mine] = -np.inf
+        margin = score.max(axis=1, initial=-np.inf) - here if n else np.zeros(0)
+        telling = (np.bincount(clause[spoken], minlength=n) > 0) & (asked_n[pair] > 0)
+        self.other = telling & (margin > 0)
+        first, last = np.zeros(n, bool), np.zeros(n, bool)
+        some = lengths > 0
+        begin = (np.cumsum(lengths) - lengths)[some]
+        first[begin] = True
+        last[begin + lengths[some] - 1] = True
+        short = np.array([bool(r[2]) for r in rows], bool)[pair]
+        any_number = np.bincount(clause[number], minlength=n) > 0
+        fresh_number = np.bincount(clause[number & ~asked_already], minlength=n) > 0
+        text = np.array([(_TAILS.get(p[-1], 0) if p[-3:] != "..." else 11, _open(p), bool(_LETTERS.search(p)), bool(_WORK.search(p)), bool(_BOX.search(p))) for p in parts] or np.zeros((0, 5)), np.int64)
+        tail, unpaired, lettered, work, box = text.T
+        shape = [
+            np.zeros(n, np.int64),
+            1 + np.minimum(4, (shared * 5).astype(np.int64)),
+            np.where(couples > 0, 7 + np.minimum(4, (echoed * 5).astype(np.int64)), 6),
+            np.where(telling, 13 + np.searchsorted(_MARGINS, margin), 12),
+            22 + tail,
+            35 + unpaired,
+            37 + lettered,
+            39 + work,
+            41 + box,
+            43 + first,
+            45 + last,
+            47 + np.minimum(5, np.log2(self.sizes).astype(np.int64)),
+            53 + short,
+            55 + fresh_number,
+            57 + 2 * short + last,
+            np.where(last, 61 + tail, 74),
+            75 + 4 * last + 2 * fresh_number + unpaired,
+            83 + 8 * short + 4 * lettered + 2 * fresh_number + any_number,
+            99 + 4 * last + 2 * work + box,
+            np.where(last, 107 + 13 * unpaired + tail, 133),
+            134 + 2 * np.minimum(4, (shared * 5).astype(np.int64)) + fresh_number,
+            144 + 4 * np.minimum(4, (echoed * 5).astype(np.int64)) + 2 * self.other + work,
+            164 + 8 * self.other + 4 * telling + 2 * lettered + short,
+        ]
+        other = self.other[clause]
+        kept = np.flatnonzero(~asked_already & ~number)
+        single = _SHAPE + _hashed(vocabulary.slot[ids[kept]], other[kept])
+        ending = _SHAPE + _hashed(vocabulary.slot[ids[kept]], other[kept] + 2 + 2 * short[clause[kept]])
+        at_end = last[clause[kept]]
+        two = next_to[spoken[next_to] & spoken[next_to + 1]]
+        double = _SHAPE + _hashed(vocabulary.slot[ids[two]] * 31 + vocabulary.slot[ids[two + 1]] * 17 + 7, other[two])
+        owner = np.concatenate([np.tile(np.arange(n), len(shape)), clause[kept], clause[kept][at_end], clause[two]])
+        flat = np.concatenate([*shape, single, ending[at_end], double]) if n else np.zeros(0, np.int64)
+        by = np.argsort(owner, kind="stable")
+        self.chains = Chains(flat[by], np.bincount(owner, minlength=n), lengths)
+
+    def shares(self, chance: np.ndarray) -> np.ndarray:
+        """What each tag covers of each pair: shares of all words, shares beside the echo, shares of the last clause, and 1."""
+        some = np.flatnonzero(self.lengths)
+        begin = self.chains.first[some]
+        held = np.add.reduceat(chance * self.sizes[:, None], begin, axis=0) if len(some) else np.zeros((0, len(TAGS)))
+        total = held.sum(axis=1, keepdims=True)
+        rest = np.delete(held, ECHO, axis=1)
+        out = [held / np.maximum(total, 1e-9), rest / np.maximum(rest.sum(axis=1, keepdims=True), 0.5), chance[begin + self.lengths[some] - 1], np.ones((len(some), 1))]
+        return np.concatenate(out, axis=1)
+
+
+def _open(part: str) -> bool:
+    """Whether braces, parentheses or dollar signs of a clause are unpaired."""
+    return part.count("{") != part.count("}") or part.count("(") != part.count(")") or (part.count("$") - part.count("\\$")) % 2 == 1
+
+
+def _mix(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (b.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9))
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + c.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(32))
+
+
+def _hashed(slot: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (slot.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + kind.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        return ((x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(64 - _BITS)).astype(np.int64)
+
+
+class Model:
+    """Field of the tags, regression of the defects and languages: what a fitted operator consists of."""
+
+    def __init__(self, field: Field, decide: np.ndarray, languages: L.Languages) -> None:
+        self.field, self.decide, self.languages = field, decide, languages
+        self._vocabulary: Vocabulary | None = None
+
+    def __getstate__(self) -> tuple:
+        return self.field.weights.astype(np.float32), self.field.moves, self.decide, self.languages.table
+
+    def __setstate__(self, state: tuple) -> None:
+        field = Field(1, len(TAGS))
+        field.weights, field.moves, decide, table = state
+        self.__init__(field, decide, L.Languages(table))
+
+    def read(self, rows: list[tuple[str | None, str | None, bool]]) -> Pairs:
+        if self._vocabulary is None:
+            self._vocabulary = Vocabulary(self.languages)
+        return Pairs(rows, self._vocabulary)
+
+    def defects(self, rows: list[tuple[str | None, str | None, bool]]) -> list[str | None]:
+        """The defect of each pair, or None."""
+        pairs = self.read(rows)
+        out: list[str | None] = ["empty"] * len(rows)
+        some = np.flatnonzero(pairs.lengths)
+        if len(some):
+            found = (pairs.shares(self.field.chances(pairs.chains)) @ self.decide).argmax(axis=1)
+            for i, d in zip(some.tolist(), found.tolist(), strict=True):
+                out[i] = DEFECTS[d]
+        return out
+
+    def tags(self, question: str | None, response: str | None, short: bool = False) -> list[str]:
+        """The tag of each clause of a response."""
+        pairs = self.read([(question, response, short)])
+        return [TAGS[t] for t in self.field.decode(pairs.chains)] if pairs.chains.n else []
+
+
+def _regression(x: np.ndarray, y: np.ndarray, steps: int = 300, ridge: float = 1e-4) -> np.ndarray:
+    """Softmax regression of y on x, classes weighted alike, by Adagrad."""
+    weights, held = np.zeros((x.shape[1], len(DEFECTS))), np.zeros((x.shape[1], len(DEFECTS)))
+    target = np.eye(len(DEFECTS))[y]
+    weight = (1 / np.maximum(np.bincount(y, minlength=len(DEFECTS)), 1))[y]
+    weight[y == 0] *= 4
+    weight = (weight / weight.sum())[:, None]
+    for _ in range(steps):
+        score = x @ weights
+        chance = np.exp(score - score.max(axis=1, keepdims=True))
+        gain = x.T @ ((target - chance / chance.sum(axis=1, keepdims=True)) * weight) - ridge * weights
+        held += gain**2
+        weights += 0.5 * gain / (np.sqrt(held) + 1e-9)
+    return weights
+
+
+def fit(rows: list[tuple[str | None, str | None, bool]], refusals: dict[str, list[str]] | None = None, seed: int = 11) -> Model:
+    """A model from unrated pairs. Three quarters of the examples made from them fit the field, the others the regression."""
+    from millrace.llm.defect_examples import examples
+
+    texts = [words(t) for q, r, _ in rows for t in (q, r) if t]
+    found = L.learn(texts)
+    model = Model(Field(FEATURES, len(TAGS)), np.zeros((3 * len(TAGS), len(DEFECTS))), found)
+    made = examples(rows, model, refusals, seed)
+    field_part, other_part = [e for i, e in enumerate(made) if i % 4], made[::4]
+    if not field_part or not other_part:
+        return model
+    pairs, labels, _ = labelled(field_part, model)
+    # Work that breaks off is the end of a response, so no other tag follows on an unfinished clause.
+    model.field.moves[UNFINISHED, :UNFINISHED] = -8.0
+    # Every second clause hides its words, so that what it shares, its language and its shape carry to words not seen here.
+    chains = pairs.chains
+    keep = (chains.flat < _SHAPE) | np.repeat(np.random.default_rng(seed).random(chains.n) < 0.5, chains.counts)
+    hidden = Chains(chains.flat[keep], np.add.reduceat(keep.astype(np.int64), chains.starts), chains.lengths)
+    model.field.fit(hidden, labels, EPOCHS)
+    pairs, _, defects = labelled(other_part, model)
+    model.decide = _regression(pairs.shares(model.field.chances(pairs.chains)), defects)
+    return model
+
+
+def labelled(made: list, model: Model) -> tuple[Pairs, np.ndarray, np.ndarray]:
+    """(pairs, tag of each clause, number of each defect) of examples (question, [(text, tag), ...], short, defect)."""
+    rows, tags, defects = [], [], []
+    for question, said, short, defect in made:
+        known: list[int] = []
+        for text, tag in said:
+            # A bare value is of no language.
+            known += [ANSWER if tag == FOREIGN and not _LETTERS.search(p) else tag for p in clauses_of(folded(text))]
+        row = (question, "\n".join(t for t, _ in said), short)
+        if known and len(known) == len(clauses_of(folded(row[1]))):
+            rows.append(row)
+            tags += known
+            defects.append(DEFECTS.index(defect))
+    return model.read(rows), np.array(tags, np.int64), np.array(defects, np.int64)
 
 
 def chat_pair(messages: Column) -> tuple[Column, Column]:
@@ -237,41 +337,31 @@ def chat_pair(messages: Column) -> tuple[Column, Column]:
     return question, F.when(role(last) == "assistant", last["content"])
 
 
-def train(pairs: DataFrame, most: int = MOST_ROWS) -> Field:
-    """The field, fitted on the clauses of a seeded sample of at most `most` pairs (`question`, `response`, `short`)."""
+def train(pairs: DataFrame, most: int = MOST_ROWS, longest: int = MOST_CHARS) -> Model:
+    """The model, fitted on a seeded sample of at most `most` pairs (`question`, `response`, `short`) of texts up to `longest` characters.
+
+    Both numbers bound what the driver holds; they bear on the sample only. Every pair is judged, whatever its length.
+    """
     order = F.xxhash64(F.lit(11), "table_name", "id")
     # A threshold on the hash leaves about twice the sample, so that no task sends the driver more than its share.
     share = min(1.0, 2 * most / max(1, pairs.count()))
-    likely = pairs.where((order <= F.lit(int(-(2**63) + share * (2**64 - 2**11)))) & (F.length("response") < 20_000))
-    rows = likely.select("question", "response", "short", order.alias("o")).orderBy("o", "response").limit(most).collect()
-    found = [r for r in (Response(r.question, r.response, r.short) for r in rows) if r.clauses]
-    field = Field(FEATURES, 5)
-    field.weights[_LABELS + np.arange(5), np.arange(5)] = CUE_WEIGHT
-    if found:
-        # Every fourth response hides its cue labels, so that the words learn to stand for them.
-        clauses = [[c if i % 4 else c[:-1] for c in r.clauses] for i, r in enumerate(found)]
-        field.fit(Chains(clauses), np.array([c for r in found for c in r.cues]))
-    return field
-
-
-def find_defects(pairs: DataFrame, field: Field) -> DataFrame:
+    fits = (F.length("response") <= longest) & (F.coalesce(F.length("question"), F.lit(0)) <= longest)
+    likely = pairs.where((order <= F.lit(int(-(2**63) + share * (2**64 - 2**11)))) & fits)
+    rows = likely.select("question", "response", "short", order.alias("o")).orderBy("o", "response", "question").limit(most).collect()
+    return fit([(r.question, r.response, r.short) for r in rows])
+
+
+def find_defects(pairs: DataFrame, model: Model) -> DataFrame:
     """`table_name`, `id`, `defect` of each defective pair (`table_name`, `id`, `question`, `response`, `short`).
 
     `short` marks responses that are bare results, which need no words that announce a result.
     """
-    shared = pairs.sparkSession.sparkContext.broadcast((field.weights.astype(np.float32), field.moves))
+    shared = pairs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = Field(1, 5)
-        tagger.weights, tagger.moves = shared.value
-        for batch in pieces(batches, "response", rows=2000):
-            short = values(batch, "short")
-            found = [Response(*r) for r in zip(values(batch, "question"), values(batch, "response"), short, strict=True)]
-            chains = Chains([r.clauses for r in found])
-            tags = tagger.decode(chains) if chains.n else np.zeros(0, np.int8)
-            out = []
-            for r, first, n in zip(found, chains.first.tolist(), chains.lengths.tolist(), strict=True):
-                out.append(defect(r, tags[first : first + n].tolist()))
+        judge = shared.value
+        for batch in pieces(batches, "response", most=2_000_000, rows=4000):
+            out = judge.defects(list(zip(values(batch, "question"), values(batch, "response"), values(batch, "short"), strict=True)))
             keep = pa.array([i for i, d in enumerate(out) if d], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep), pa.array([d for d in out if d], pa.string())], names=["table_name", "id", "defect"])
 
