@@ -308,6 +308,15 @@ def _equal_pairs(p: pd.Series, g: pd.Series) -> pd.Series:
     return pd.Series([None if a is None or b is None else equal(a, b) for a, b in zip(p, g, strict=True)], dtype="object")
 
 
+def with_comparison(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    """df with the boolean `name`: compared() of two columns of normal forms, null where it stays open."""
+
+    def pairs(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([None if p is None or g is None else compared(p, g) for p, g in zip(x, y, strict=True)], dtype="object")
+
+    return df.withColumn(name, F.pandas_udf(pairs, T.BooleanType()).asNondeterministic()(F.col(a), F.col(b)))
+
+
 def with_equivalence(df: DataFrame, pred: str, gold: str, name: str = "equivalent") -> DataFrame:
     """df with the boolean `name`: whether two answers are equivalent by text, number or expression.
 

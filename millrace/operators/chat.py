@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,6 +70,26 @@ def mix(sources: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def problem_set(df: DataFrame, extracted: str = "gsm8k", stripped: str = "math") -> DataFrame:
+    """Problems (`source`, `answer`, ...) of two sources: answers of the one extracted, those of the other stripped; rows without go."""
+    answer = F.when(F.col("source") == extracted, extract_answer(F.col("answer"))).otherwise(F.when(strip(F.col("answer")) != "", strip(F.col("answer"))))
+    return df.where(F.col("source").isin(extracted, stripped)).withColumn("answer", answer).where(F.col("answer").isNotNull())
+
+
+def load_task(name: str, tasks: dict[str, Callable[[], DataFrame]]) -> DataFrame:
+    """The rows of a task by its name; an unknown name is an error."""
+    if name not in tasks:
+        raise ValueError(f"unknown task {name!r}; there are {', '.join(sorted(tasks))}")
+    return tasks[name]()
+
+
+def nested(turns: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Turns (`role`, `content`, `order`) of each key as `messages`; a turn repeated under one place counts once, a conversation is held by one task."""
+    one = F.struct(order, "role", "content")
+    rows = turns.groupBy(*keys).agg(F.array_sort(F.collect_set(one)).alias("_turns"))
+    return rows.select(*keys, F.transform("_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).cast(MESSAGE).alias("messages"))
+
+
 def source_name(column: Column) -> Column:
     """A source without case and outer white space; null for none."""
     name = F.lower(F.trim(column))

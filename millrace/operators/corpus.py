@@ -27,7 +27,7 @@ def tokens_of(chars: Column) -> Column:
 
 
 def balanced_order(df: DataFrame, source: str, order: list[str], extra: list[str] = ()) -> DataFrame:
-    """`source`, the order columns, `extra`, `round`, and `seq`: one document of each source a round, sources in the order of their name."""
+    """`source`, the order columns, `extra`, `round`, and `seq`: one document of each source a round, sources in the order of their name (those without one first)."""
     ranked = rank_in_groups(df.select(source, *order, *extra), [source], order, "round")
     return positions(ranked, ["round", source], None)
 

@@ -49,12 +49,21 @@ def expand_k(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("sample_idx", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
 
 
-def report(df: DataFrame, task: str, level: str = "level", right: str = "correct") -> DataFrame:
-    """One row a task: n, correct, accuracy, and `by_level`: accuracy as JSON by level, nulls left out."""
+def report(df: DataFrame, task: str, level: str = "level", right: str = "correct", facts: dict[str, object] | None = None) -> DataFrame:
+    """One row a task: `task`, `n`, `correct`, `accuracy`, and `report`, all of it as JSON.
+
+    The JSON holds the `facts` (model, adapter, k, limit, backend and the like) in their order, then the figures, then `by_level`: levels as
+    names, each with its correct and total number, null levels left out.
+    """
     levels = accuracy(df.where(F.col(level).isNotNull()), [task, level], right)
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(level).cast("string").alias("level"), F.col("correct"), F.col("n"))))
-    maps = levels.groupBy(task).agg(F.transform(pairs, lambda p: F.concat_ws(":", p["level"], p["correct"].cast("string"), p["n"].cast("string"))).alias("by_level"))
-    return accuracy(df, [task], right).join(maps, task, "left").withColumn("by_level", F.coalesce(F.array_join("by_level", ","), F.lit("")))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col(level).alias("level"), F.col("correct"), F.col("n"))))
+    named = F.transform(pairs, lambda p: F.struct(p["level"].cast("string").alias("key"), F.struct(p["correct"].alias("correct"), p["n"].alias("total")).alias("value")))
+    maps = levels.groupBy(task).agg(F.map_from_entries(named).alias("by_level"))
+    rows = accuracy(df, [task], right).join(maps, task, "left")
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<struct<correct:bigint,total:bigint>>"))
+    known = [F.lit(v).alias(k) for k, v in (facts or {}).items()]
+    whole = F.struct(*known, F.col(task).alias("task"), "n", "correct", F.round("accuracy", 4).alias("accuracy"), F.coalesce("by_level", empty).alias("by_level"))
+    return rows.select(task, "n", "correct", "accuracy", F.to_json(whole, {"ignoreNullFields": "false"}).alias("report"))
 
 
 def model_diff(df: DataFrame, group: str, a: str, b: str, problem: str, right: str = "correct") -> DataFrame:

@@ -12,8 +12,9 @@ from millrace.functions.symbolic import with_equivalence
 
 
 def grade(df: DataFrame, completion: str, gold: str, name: str = "is_correct") -> DataFrame:
-    """df with `answer` (extracted) and the boolean `name`; null completions are wrong."""
-    return with_equivalence(df.withColumn("answer", extract_answer(F.col(completion))), "answer", gold, name)
+    """df with `answer` (extracted, in place of a column of that name) and the boolean `name`; null completions are wrong."""
+    read = df.withColumn("_gold", F.col(gold)).withColumn("answer", extract_answer(F.col(completion)))
+    return with_equivalence(read, "answer", "_gold", name).drop("_gold")
 
 
 def reward(answer: Column, right: Column, correct: float = 1.0, incorrect: float = -1.0, no_answer: float = -1.0) -> Column:

@@ -34,11 +34,14 @@ def _offsets(ranged: DataFrame, keys: list[str], amount: Column) -> DataFrame:
 
 
 def rank_in_groups(df: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
-    """df with the 1-based rank of each row in its group of `keys` (without nulls), in the order of `order` (unique in a group)."""
+    """df with the 1-based rank of each row in its group of `keys`, in the order of `order` (unique in a group); nulls are a group."""
     ranged = _partitioned(df, [*keys, *order])
     inside = F.row_number().over(Window.partitionBy("_pid", *keys).orderBy(*order))
-    ranked = ranged.withColumn("_inside", inside).join(_offsets(ranged, keys, F.lit(1)), ["_pid", *keys])
-    return ranked.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_pid", "_before", "_inside")
+    offsets = _offsets(ranged, keys, F.lit(1))
+    renamed = offsets.select(F.col("_pid").alias("_p"), *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_before")
+    on = [F.col("_pid") == F.col("_p")] + [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    ranked = ranged.withColumn("_inside", inside).join(renamed, on)
+    return ranked.withColumn(name, (F.col("_before") + F.col("_inside")).cast("long")).drop("_pid", "_before", "_inside", "_p", *[f"_k{i}" for i in range(len(keys))])
 
 
 def positions(df: DataFrame, order: list[str], size: str | None, seq: str = "seq", before: str = "before") -> DataFrame:

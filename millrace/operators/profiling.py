@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +48,33 @@ def preview(df: DataFrame, order: str, text: str, rows: int = 2, chars: int = 15
     return df.orderBy(order).limit(rows).select(order, F.substring(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), 1, chars).alias(text))
 
 
+def _count_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The characters of a task's texts, a row each; a character has one of 1,114,112 codes."""
+    total = np.zeros(0x110000, np.int64)
+    waiting: list[str] = []
+
+    def count() -> None:
+        held = np.bincount(np.frombuffer("".join(waiting).encode("utf-32-le", "surrogatepass"), np.uint32))
+        total[: len(held)] += held
+        waiting.clear()
+
+    chars = 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            waiting.append(text or "")
+            chars += len(waiting[-1])
+            if chars > 4_000_000:
+                count()
+                chars = 0
+    count()
+    codes = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in codes.tolist()], pa.string()), pa.array(total[codes])], names=["character", "n"])
+
+
 def characters(df: DataFrame, text: str) -> DataFrame:
     """`character`, `n`: every character of the texts and how often it occurs."""
-    return df.select(F.explode(F.split(F.col(text), "")).alias("character")).where("character <> ''").groupBy("character").agg(F.count(F.lit(1)).alias("n"))
+    counted = df.select(F.col(text).cast("string").alias("text")).mapInArrow(_count_characters, "character string, n long")
+    return counted.groupBy("character").agg(F.sum("n").alias("n"))
 
 
 def latex_commands(df: DataFrame, text: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from millrace.functions import answers as A
 from millrace.functions import arithmetic as M
 from millrace.functions import cleaning as X
 from millrace.functions import comparison as N
-from millrace.functions.symbolic import compared, with_equivalence
+from millrace.functions.symbolic import with_comparison, with_equivalence
 from millrace.operators import chat as D
 from millrace.operators import grading as G
 from millrace.plans import sqltext as Q
@@ -21,7 +20,8 @@ CHUNK = 24
 
 
 def _records(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
-    return table(spark, sf, "eval_record").select("record_id", *columns).distinct()
+    """The rows as they are: repeated ones are dropped from the results, which are narrower than the texts."""
+    return table(spark, sf, "eval_record").select("record_id", *columns)
 
 
 def _completions(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,7 +29,7 @@ def _completions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _chats(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "sft").select("sft_id", "messages", "source").distinct()
+    return table(spark, sf, "sft").select("sft_id", "messages", "source")
 
 
 def _replies(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,37 +43,37 @@ def _forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def last_boxed(spark: SparkSession, sf: str) -> DataFrame:
-    return _replies(spark, sf).select("sft_id", A.last_boxed(F.col("reply")).alias("boxed"))
+    return _replies(spark, sf).select("sft_id", A.last_boxed(F.col("reply")).alias("boxed")).distinct()
 
 
 def marker_answer(spark: SparkSession, sf: str) -> DataFrame:
-    return _replies(spark, sf).select("sft_id", A.marker_answer(F.col("reply")).alias("marker"))
+    return _replies(spark, sf).select("sft_id", A.marker_answer(F.col("reply")).alias("marker")).distinct()
 
 
 def phrase_answer(spark: SparkSession, sf: str) -> DataFrame:
-    return _replies(spark, sf).select("sft_id", A.phrase_answer(F.col("reply")).alias("phrase"))
+    return _replies(spark, sf).select("sft_id", A.phrase_answer(F.col("reply")).alias("phrase")).distinct()
 
 
 def trailing_equation(spark: SparkSession, sf: str) -> DataFrame:
-    return _replies(spark, sf).select("sft_id", A.trailing_equation(F.col("reply")).alias("equation"))
+    return _replies(spark, sf).select("sft_id", A.trailing_equation(F.col("reply")).alias("equation")).distinct()
 
 
 def last_number(spark: SparkSession, sf: str) -> DataFrame:
-    return _replies(spark, sf).select("sft_id", A.last_number(F.col("reply")).alias("number"))
+    return _replies(spark, sf).select("sft_id", A.last_number(F.col("reply")).alias("number")).distinct()
 
 
 def extract_answer(spark: SparkSession, sf: str) -> DataFrame:
-    return _completions(spark, sf).select("record_id", A.extract_answer(F.col("completion")).alias("answer"))
+    return _completions(spark, sf).select("record_id", A.extract_answer(F.col("completion")).alias("answer")).distinct()
 
 
 def extractable_rate(spark: SparkSession, sf: str) -> DataFrame:
     found = A.extract_answer(F.col("reply")).isNotNull()
-    rows = _replies(spark, sf).where(F.col("reply").isNotNull()).select("source", found.alias("found"))
+    rows = _replies(spark, sf).where(F.col("reply").isNotNull()).select("sft_id", "source", found.alias("found")).distinct()
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("found").cast("double")).alias("rate"))
 
 
 def drop_unextractable(spark: SparkSession, sf: str) -> DataFrame:
-    return _replies(spark, sf).where(A.extract_answer(F.col("reply")).isNotNull()).select("sft_id")
+    return _replies(spark, sf).where(A.extract_answer(F.col("reply")).isNotNull()).select("sft_id").distinct()
 
 
 def normalise_answer(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,25 +91,18 @@ def to_number(spark: SparkSession, sf: str) -> DataFrame:
 def numeric_equal(spark: SparkSession, sf: str) -> DataFrame:
     rows = _records(spark, sf, "predicted", "gold").where("predicted IS NOT NULL AND gold IS NOT NULL")
     values = rows.select("record_id", *[N.to_number(N.normalise(F.col(c))).alias(n) for c, n in (("predicted", "x"), ("gold", "y"))])
-    return values.select("record_id", N.numeric_equal(F.col("x"), F.col("y")).alias("equal"))
+    return values.select("record_id", N.numeric_equal(F.col("x"), F.col("y")).alias("equal")).distinct()
 
 
 def answers_equivalent(spark: SparkSession, sf: str) -> DataFrame:
     rows = _records(spark, sf, "predicted", "gold")
-    return with_equivalence(rows, "predicted", "gold").select("record_id", "equivalent")
+    return with_equivalence(rows, "predicted", "gold").select("record_id", "equivalent").distinct()
 
 
-def symbolic_equal(spark: SparkSession, sf: str) -> DataFrame:
-    forms = N.normalise(F.col("answer"))
-    rows = _forms(spark, sf).select(forms.alias("p"), F.concat(F.lit("("), forms, F.lit(")*1")).alias("g"))
+def symbolic_open(spark: SparkSession, sf: str) -> DataFrame:
+    """The predicted/gold pairs that text and numbers leave open, and what symbolic comparison says of them."""
     left = _records(spark, sf, "predicted", "gold").select(N.verdict(F.col("predicted"), F.col("gold")).alias("v")).select("v.p", "v.g")
-    rows = rows.unionByName(left.where("p IS NOT NULL AND g IS NOT NULL")).distinct()
-
-    def compare(parts):
-        for part in parts:
-            yield part.assign(equal=pd.Series([compared(p, g) for p, g in zip(part["p"], part["g"], strict=True)], index=part.index, dtype="object"))
-
-    return rows.mapInPandas(compare, "p string, g string, equal boolean")
+    return with_comparison(left.where("p IS NOT NULL AND g IS NOT NULL").distinct(), "p", "g", "equal")
 
 
 def _graded(spark: SparkSession, sf: str) -> DataFrame:
@@ -117,11 +110,11 @@ def _graded(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def is_correct(spark: SparkSession, sf: str) -> DataFrame:
-    return _graded(spark, sf).select("record_id", "is_correct")
+    return _graded(spark, sf).select("record_id", "is_correct").distinct()
 
 
 def math_reward(spark: SparkSession, sf: str) -> DataFrame:
-    return _graded(spark, sf).select("record_id", G.reward(F.col("answer"), F.col("is_correct"), no_answer=-1.5).alias("reward"))
+    return _graded(spark, sf).select("record_id", G.reward(F.col("answer"), F.col("is_correct"), no_answer=-1.5).alias("reward")).distinct()
 
 
 def reward_batch(spark: SparkSession, sf: str) -> DataFrame:
@@ -129,21 +122,21 @@ def reward_batch(spark: SparkSession, sf: str) -> DataFrame:
     rows = _records(spark, sf, "completion", "gold").select("record_id", "gold", turns.alias("turns"))
     rows = rows.withColumn("text", G.completion_text(F.col("turns"), nested=True))
     graded = G.grade(rows, "text", "gold")
-    return graded.select("record_id", G.reward(F.col("answer"), F.col("is_correct")).alias("reward"))
+    return graded.select("record_id", G.reward(F.col("answer"), F.col("is_correct")).alias("reward")).distinct()
 
 
 def agreement_rate(spark: SparkSession, sf: str) -> DataFrame:
-    return G.agreement(_graded(spark, sf), "is_correct", "run_id")
+    return G.agreement(_graded(spark, sf).select("record_id", "run_id", "is_correct").distinct(), "is_correct", "run_id")
 
 
 def arith_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    return _replies(spark, sf).where(F.col("reply").isNotNull()).select("sft_id", M.plain_arithmetic(F.col("reply")).alias("plain"))
+    return _replies(spark, sf).where(F.col("reply").isNotNull()).select("sft_id", M.plain_arithmetic(F.col("reply")).alias("plain")).distinct()
 
 
 def arith_candidate(spark: SparkSession, sf: str) -> DataFrame:
     lines = _replies(spark, sf).where(F.col("reply").isNotNull()).select("sft_id", F.posexplode(F.split(M.plain_arithmetic(F.col("reply")), "\n")).alias("line_no", "line"))
     parts = lines.where(F.contains("line", F.lit("="))).select("sft_id", "line_no", F.posexplode(F.split("line", "=")).alias("part_no", "part"))
-    return parts.select("sft_id", "line_no", "part_no", M.arithmetic_tail(F.col("part")).alias("expression"))
+    return parts.select("sft_id", "line_no", "part_no", M.arithmetic_tail(F.col("part")).alias("expression")).distinct()
 
 
 def safe_arith(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,39 +150,39 @@ def _checked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def check_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
-    return _checked(spark, sf).select("sft_id", F.posexplode("checks").alias("check_no", "c")).select("sft_id", "check_no", "c.expr", "c.computed", "c.stated", "c.ok")
+    return _checked(spark, sf).select("sft_id", F.posexplode("checks").alias("check_no", "c")).select("sft_id", "check_no", "c.expr", "c.computed", "c.stated", "c.ok").distinct()
 
 
 def arith_errors(spark: SparkSession, sf: str) -> DataFrame:
-    return _checked(spark, sf).select("sft_id", F.size("checks").alias("n_checked"), M.error_count(F.col("checks")).alias("n_errors"))
+    return _checked(spark, sf).select("sft_id", F.size("checks").alias("n_checked"), M.error_count(F.col("checks")).alias("n_errors")).distinct()
 
 
 def corrected_answer(spark: SparkSession, sf: str) -> DataFrame:
     rows = _completions(spark, sf).where(F.col("completion").isNotNull())
     found = M.with_checks(rows, F.col("completion"), A.extract_answer(F.col("completion")))
-    return found.where(F.col("corrected_answer").isNotNull()).select("record_id", "corrected_answer")
+    return found.where(F.col("corrected_answer").isNotNull()).select("record_id", "corrected_answer").distinct()
 
 
 def solve_result(spark: SparkSession, sf: str) -> DataFrame:
-    return G.solve(_completions(spark, sf).where(F.col("completion").isNotNull()), "completion").drop("completion")
+    return G.solve(_completions(spark, sf).where(F.col("completion").isNotNull()), "completion").drop("completion").distinct()
 
 
 def clean_solution(spark: SparkSession, sf: str) -> DataFrame:
-    return _completions(spark, sf).select("record_id", X.clean_solution(F.col("completion")).alias("solution"))
+    return _completions(spark, sf).select("record_id", X.clean_solution(F.col("completion")).alias("solution")).distinct()
 
 
 def chunk_text(spark: SparkSession, sf: str) -> DataFrame:
     pieces = F.posexplode(X.chunks(F.col("completion"), CHUNK)).alias("piece_no", "piece")
-    return _completions(spark, sf).select("record_id", pieces)
+    return _completions(spark, sf).select("record_id", pieces).distinct()
 
 
 def truncate_at_box(spark: SparkSession, sf: str) -> DataFrame:
-    return _completions(spark, sf).select("record_id", X.truncate_at_box(F.col("completion")).alias("text"))
+    return _completions(spark, sf).select("record_id", X.truncate_at_box(F.col("completion")).alias("text")).distinct()
 
 
 QUERIES = [
     last_boxed, marker_answer, phrase_answer, trailing_equation, last_number, extract_answer, extractable_rate, drop_unextractable, normalise_answer, thousands_commas, to_number,
-    numeric_equal, answers_equivalent, symbolic_equal, is_correct, math_reward, reward_batch, agreement_rate, arith_normalise, arith_candidate, safe_arith, check_arithmetic,
+    numeric_equal, answers_equivalent, symbolic_open, is_correct, math_reward, reward_batch, agreement_rate, arith_normalise, arith_candidate, safe_arith, check_arithmetic,
     arith_errors, corrected_answer, solve_result, clean_solution, chunk_text, truncate_at_box,
 ]
 

@@ -11,8 +11,8 @@ from millrace.operators import profiling as P
 from millrace.plans import sqltext as Q
 from millrace.tables import table
 
-#: Characters of the budget queries, documents of a shard, documents of a source, rows of the sampled profile.
-TARGET, SHARD, HEAD, SAMPLE = 1_000_000, 200, 50, P.SAMPLED
+#: Budget of the budget queries and of the validation shard as shares of all characters kept, documents of a shard and of a source, rows of the sampled profile.
+SHARE, VALIDATION_SHARE, SHARD, HEAD, SAMPLE = 0.4, 0.01, 200, 50, P.SAMPLED
 SUBSETS = ["arXiv", "Wikipedia", "ProofWiki"]
 VALIDATION = "text-ug"
 
@@ -25,6 +25,11 @@ def _sized(spark: SparkSession, sf: str) -> DataFrame:
     return C.clean(_docs(spark, sf)).select("doc_id", "source", F.length("text").cast("long").alias("size"))
 
 
+def _target(spark: SparkSession, sf: str, share: float) -> int:
+    """A share of the characters of the cleaned documents."""
+    return int((_sized(spark, sf).agg(F.sum("size")).first()[0] or 0) * share)
+
+
 def clean_docs(spark: SparkSession, sf: str) -> DataFrame:
     return _docs(spark, sf).select("doc_id", strip(F.col("text")).alias("text"))
 
@@ -50,11 +55,11 @@ def balanced_order(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def budget_cut(spark: SparkSession, sf: str) -> DataFrame:
-    return C.budget_cut(_sized(spark, sf).select("doc_id", "size"), ["doc_id"], "size", TARGET).select("doc_id", "seq", "before")
+    return C.budget_cut(_sized(spark, sf).select("doc_id", "size"), ["doc_id"], "size", _target(spark, sf, SHARE)).select("doc_id", "seq", "before")
 
 
 def _budgeted(spark: SparkSession, sf: str) -> DataFrame:
-    return C.balanced_budget(_sized(spark, sf), "source", ["doc_id"], "size", TARGET)
+    return C.balanced_budget(_sized(spark, sf), "source", ["doc_id"], "size", _target(spark, sf, SHARE))
 
 
 def balanced_budget(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,8 +75,11 @@ def shard_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def val_shard(spark: SparkSession, sf: str) -> DataFrame:
+    """The validation documents as one shard, numbered after those for training (one row of figures is joined to all)."""
     held = _sized(spark, sf).where(F.col("source") == VALIDATION).select("doc_id", "size")
-    return C.budget_cut(held, ["doc_id"], "size", TARGET / 10).select("doc_id", "seq", F.lit(5).cast("long").alias("shard"))
+    train = C.shard_stats(_budgeted(spark, sf), "size", docs=SHARD).select(F.col("next_index").alias("shard"))
+    cut = C.budget_cut(held, ["doc_id"], "size", _target(spark, sf, VALIDATION_SHARE))
+    return cut.crossJoin(F.broadcast(train)).select("doc_id", "seq", "shard")
 
 
 def limit_per_source(spark: SparkSession, sf: str) -> DataFrame:
@@ -122,7 +130,7 @@ QUERIES = [
 
 _KEPT = f"kept AS (SELECT doc_id, source, least(length(t), 100000)::BIGINT AS size, t FROM (SELECT doc_id, source, {Q.strip('text')} AS t FROM documents) WHERE length(t) >= 200)"
 _ORDER = f"{_KEPT}, rounds AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round FROM kept), placed AS (SELECT *, row_number() OVER (ORDER BY round, source) AS seq FROM rounds)"
-_CUT = f"{_ORDER}, summed AS (SELECT *, coalesce(sum(size) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed), cut AS (SELECT * FROM summed WHERE seq = 1 OR before < {TARGET})"
+_CUT = f"{_ORDER}, summed AS (SELECT *, coalesce(sum(size) OVER (ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM placed), cut AS (SELECT * FROM summed WHERE seq = 1 OR before < (SELECT floor(sum(size) * {SHARE}::DOUBLE) FROM kept))"
 _STATS = """SELECT count(*) AS n, min(s) AS min, (list_sort(list(s)))[least(count(*) - 1, floor(0.5::DOUBLE * count(*))::BIGINT) + 1] AS p50, floor(sum(s) / count(*))::BIGINT AS mean,
     (list_sort(list(s)))[least(count(*) - 1, floor(0.95::DOUBLE * count(*))::BIGINT) + 1] AS p95, max(s) AS max FROM (SELECT length(text)::BIGINT AS s FROM {rows}) WHERE s IS NOT NULL"""
 
@@ -138,11 +146,11 @@ ORACLES = {
     "subset_filter": f"SELECT doc_id, subset FROM documents WHERE subset IN ({', '.join(repr(s) for s in SUBSETS)})",
     "token_estimate": "SELECT doc_id, floor(length(text) / 4.0::DOUBLE)::BIGINT AS approx_tokens FROM documents",
     "balanced_order": f"WITH {_ORDER} SELECT doc_id, source, round, seq FROM placed",
-    "budget_cut": f"WITH {_KEPT} SELECT doc_id, seq, before FROM ({_running('kept', 'doc_id', f'seq = 1 OR before < {TARGET}')})",
+    "budget_cut": f"WITH {_KEPT} SELECT doc_id, seq, before FROM ({_running('kept', 'doc_id', f'seq = 1 OR before < (SELECT floor(sum(size) * {SHARE}::DOUBLE) FROM kept)')})",
     "balanced_budget": f"WITH {_CUT} SELECT doc_id, source, round, seq, size FROM cut",
     "shard_assign": f"WITH {_CUT} SELECT doc_id, (seq - 1) // {SHARD} AS shard FROM cut",
     "shard_stats": f"WITH {_CUT} SELECT count(*) AS docs, sum(size)::BIGINT AS chars, floor(sum(size) / 4.0::DOUBLE)::BIGINT AS approx_tokens, ceil(count(*) / {SHARD}.0)::BIGINT AS shards, ceil(count(*) / {SHARD}.0)::BIGINT AS next_index FROM cut",
-    "val_shard": f"WITH {_KEPT}, held AS (SELECT doc_id, size FROM kept WHERE source = '{VALIDATION}') SELECT doc_id, seq, 5::BIGINT AS shard FROM ({_running('held', 'doc_id', f'seq = 1 OR before < {TARGET // 10}')})",
+    "val_shard": f"WITH {_CUT}, held AS (SELECT doc_id, size FROM kept WHERE source = '{VALIDATION}') SELECT doc_id, seq, (SELECT ceil(count(*) / {SHARD}.0)::BIGINT FROM cut) AS shard FROM ({_running('held', 'doc_id', f'seq = 1 OR before < (SELECT floor(sum(size) * {VALIDATION_SHARE}::DOUBLE) FROM kept)')})",
     "limit_per_source": f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= {HEAD}",
     "length_stats": _STATS.format(rows="documents"),
     "length_percentiles": """WITH v AS (SELECT list_sort(list(length(text)::BIGINT)) AS l FROM documents WHERE text IS NOT NULL)

@@ -14,6 +14,8 @@ from millrace.tables import table
 #: Samples of a problem that pass@k looks at, completions of a batch, the models compared.
 K, BATCH = 4, 64
 MODEL_A, MODEL_B = "abacus-1b", "abacus-1b-rl"
+#: What the report says of its run.
+FACTS = {"model": "all", "adapter": None, "backend": "records", "k": K, "limit": None}
 
 
 def _records(spark: SparkSession, sf: str, *columns: str) -> DataFrame:
@@ -38,7 +40,8 @@ def pass_at_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_records(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _records(spark, sf, "run_id", "eval_id", "sample_idx", "predicted", "completion", "correct")
+    # Repeated rows change neither a first sample nor whether any is right, so they stay.
+    rows = table(spark, sf, "eval_record").select("run_id", "eval_id", "sample_idx", "predicted", "completion", "correct")
     return E.first_records(rows, ["run_id", "eval_id"], "sample_idx", ["predicted", "completion"])
 
 
@@ -51,7 +54,7 @@ def expand_k(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eval_report(spark: SparkSession, sf: str) -> DataFrame:
-    return E.report(_with_task(spark, sf, "level", "correct"), "task")
+    return E.report(_with_task(spark, sf, "level", "correct"), "task", facts=FACTS)
 
 
 def model_diff(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +85,8 @@ def reward_groups(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def live_accuracy(spark: SparkSession, sf: str) -> DataFrame:
-    return stream_accuracy(spark, f"{sf}/eval_record.parquet", ["level"], "correct", key="record_id", answers=("completion", "gold"))
+    """Accuracy by level of graded completions as they arrive, each record once; records without a level are left out here."""
+    return stream_accuracy(spark, f"{sf}/eval_record.parquet", ["level"], "correct", key="record_id", answers=("completion", "gold")).where(F.col("level").isNotNull())
 
 
 QUERIES = [
@@ -101,12 +105,13 @@ ORACLES = {
     "running_accuracy": f"WITH {_R}, o AS (SELECT hit, row_number() OVER (ORDER BY record_id) AS i, sum(hit::INTEGER) OVER (ORDER BY record_id) AS hits FROM r), b AS (SELECT ((i - 1) // {BATCH}) + 1 AS batch, max(i) AS n, max(hits) AS hits FROM o GROUP BY 1) SELECT batch, n, hits / n AS accuracy FROM b",
     "expand_k": f"SELECT eval_id, problem, s::INTEGER AS sample_idx FROM eval_row, unnest(range({K})) AS u(s)",
     "eval_report": f"""WITH {_R}, t AS (SELECT r.*, e.task FROM r JOIN eval_row e USING (eval_id)), l AS (SELECT task, level, sum(hit::INTEGER) AS c, count(*) AS k FROM t WHERE level IS NOT NULL GROUP BY ALL),
-        m AS (SELECT task, string_agg(level || ':' || c || ':' || k, ',' ORDER BY level) AS by_level FROM l GROUP BY task)
-        SELECT task, {_COUNTS}, coalesce(any_value(by_level), '') AS by_level FROM t LEFT JOIN m USING (task) GROUP BY task""",
+        m AS (SELECT task, string_agg('"' || level || '":{{"correct":' || c || ',"total":' || k || '}}', ',' ORDER BY level) AS by_level FROM l GROUP BY task),
+        g AS (SELECT task, {_COUNTS}, coalesce(any_value(by_level), '') AS by_level FROM t LEFT JOIN m USING (task) GROUP BY task)
+        SELECT task, n, correct, accuracy, '{{"model":"all","adapter":null,"backend":"records","k":{K},"limit":null,"task":"' || task || '","n":' || n || ',"correct":' || correct || ',"accuracy":' || round(accuracy, 4) || ',"by_level":{{' || by_level || '}}}}' AS report FROM g""",
     "model_diff": f"WITH {_R} SELECT eval_id FROM r GROUP BY eval_id HAVING bool_or(hit) FILTER (model = '{MODEL_A}') = false AND bool_or(hit) FILTER (model = '{MODEL_B}')",
     "progression": f"WITH {_R}, t AS (SELECT r.run_id, r.hit, e.task FROM r JOIN eval_row e USING (eval_id)) SELECT run_id, avg(hit::INTEGER) FILTER (task = 'gsm8k') AS gsm8k, avg(hit::INTEGER) FILTER (task = 'math') AS math FROM t GROUP BY run_id",
     "advantage_mean": f"{_REWARD} SELECT record_id, round(reward - avg(reward) OVER (PARTITION BY run_id, eval_id), 9) AS advantage FROM g",
     "advantage_std": f"{_REWARD} SELECT record_id, round((reward - avg(reward) OVER w) / (stddev_pop(reward) OVER w + 1e-6::DOUBLE), 6) AS advantage FROM g WINDOW w AS (PARTITION BY run_id, eval_id)",
     "reward_groups": f"{_REWARD}, s AS (SELECT run_id, eval_id, max(reward) = min(reward) AS flat FROM g GROUP BY ALL) SELECT run_id, count(*) AS n_groups, sum(flat::INTEGER)::BIGINT AS n_flat FROM s GROUP BY run_id",
-    "live_accuracy": "SELECT level, count(*) AS n, sum(coalesce(correct, false)::INTEGER)::BIGINT AS correct FROM eval_record WHERE level IS NOT NULL GROUP BY level",
+    "live_accuracy": f"WITH {Q.graded(Q.RECORDS, 'completion', 'gold', 'record_id, level')} SELECT level, count(*) AS n, sum(ok::INTEGER)::BIGINT AS correct FROM graded WHERE level IS NOT NULL GROUP BY level",
 }

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from millrace.operators import chat as D
 from millrace.operators import corpus as C
+from millrace.operators import evaluation as E
+from millrace.operators import grading as G
 from millrace.operators import profiling as P
+from millrace.sizing import broadcast_if_small
 from millrace.sources.jsonl import read_lines, source_positions
 from millrace.sources.shards import write_jsonl, write_shards
 from millrace.storage import materialise
@@ -25,7 +28,7 @@ def corpus_to_shards(
     Returns the figures of both parts; a warning stands under `warnings` if there are fewer than two shards or none for validation.
     """
     rows = C.clean(C.in_subsets(read_lines(spark, folder), subsets), min_chars=min_chars, max_chars=max_chars)
-    rows = rows.join(F.broadcast(source_positions(rows.where("split = 'train'"))), "source", "left")
+    rows = rows.join(broadcast_if_small(source_positions(rows.where("split = 'train'"))), "source", "left")
     rows = rows.select(*_PLACE, "split", "source_pos", "text", F.length("text").cast("long").alias("size"))
     rows = materialise(rows.withColumn("key", F.concat_ws(":", *_PLACE)), "cleaned")
     train, held = rows.where("split = 'train'"), rows.where("split = 'validation'")
@@ -49,16 +52,40 @@ def sft_to_jsonl(sources: dict[str, DataFrame], out: str, per_source: int | None
     return mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
 
 
+def grpo_to_jsonl(problems: DataFrame, out: str, limit: int | None = None, least: float | None = None) -> dict[str, dict]:
+    """Problems (`id`, `problem`, `answer`, `source`, `level`, perhaps `solution`) of both sources to JSON lines.
+
+    Returns for each source the number written and, with solutions, the share of them that come to the answer; below `least` it raises.
+    """
+    rows = D.problem_set(problems)
+    rows = materialise(rows if limit is None else C.limit_per_source(rows, "source", ["id"], limit), "problems")
+    write_jsonl(rows.orderBy("source", "id").select("problem", "answer", "source", "level"), out)
+    found = {r["source"]: {"n": r["n"]} for r in rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if "solution" in rows.columns:
+        for r in G.agreement(G.grade(rows.drop("is_correct"), "solution", "answer", "right"), "right", "source", least=least).collect():
+            found[r["source"]]["agreement"] = r["agreement"]
+    return found
+
+
+def evaluate(records: DataFrame, task: str = "task", facts: dict[str, object] | None = None) -> DataFrame:
+    """The report of each task over completions (`completion`, `gold`, `level`, the task): graded, one row a task."""
+    graded = G.grade(records.select(task, "completion", "gold", "level"), "completion", "gold", "correct")
+    return E.report(graded, task, facts=facts)
+
+
 def inspect(parts: dict[str, object], text: str = "text", rows: int = P.SAMPLED) -> dict[str, dict]:
     """For each named loader (a function without arguments that gives a frame): its columns, two rows and length statistics.
 
+    Both are of the first `rows` rows: by file and line of a scan, else by partition.
+
     A loader that fails gives its error instead, and the others go on.
     """
     found = {}
     for name, load in parts.items():
         try:
             df = load()
-            sample = df.select(F.col(text)).limit(rows)
+            order = _PLACE if set(_PLACE) <= set(df.columns) else [F.monotonically_increasing_id()]
+            sample = df.orderBy(*order).limit(rows).select(text)
             stats = P.length_stats(sample.select(F.length(text).alias("size")), "size").first()
             shown = [r[0] for r in sample.limit(2).select(F.substring(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), 1, 150)).collect()]
             found[name] = {"columns": dict(df.dtypes), "examples": shown, "lengths": stats.asDict() if stats else None}

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.plans import answers, chat, corpus, evaluation
+from millrace.plans import answers, chat, corpus, evaluation, planted
 from millrace.shipping import shipped
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (corpus, answers, chat, evaluation)
+_PARTS = (corpus, answers, chat, evaluation, planted)
 
 
 def queries() -> dict[str, Query]:

@@ -10,12 +10,13 @@ def build_session(master: str = "local[8]", app: str = "millrace", **conf: str)
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.driver.host": "127.0.0.1",
     }
+    if master == "local" or master.startswith("local["):  # a cluster's own setting, or Spark's 200, otherwise
+        settings["spark.sql.shuffle.partitions"] = "8"
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():
         builder = builder.config(key, value)

@@ -55,15 +55,24 @@ def write_jsonl(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(folder)
 
 
+def _small(table: DataFrame, most: int) -> list:
+    rows = table.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    return rows
+
+
 def report_text(report: DataFrame, most: int = 10_000) -> str:
-    """A small table as indented JSON, doubles rounded to four places."""
-    rows = report.limit(most).collect()
+    """A small table as indented JSON, doubles rounded to four places; an error beyond `most` rows."""
+    rows = _small(report, most)
     return json.dumps([{k: round(v, 4) if isinstance(v, float) else v for k, v in r.asDict(recursive=True).items()} for r in rows], indent=2, ensure_ascii=False, default=str)
 
 
-def markdown_report(title: str, parts: dict[str, DataFrame], rows: int = 50) -> str:
-    """Small tables as text in a fence."""
+def markdown_report(title: str, parts: dict[str, DataFrame], most: int = 10_000) -> str:
+    """Small tables as text in a fence, every row of them; an error beyond `most` rows."""
     out = [f"# {title}", "", "```"]
     for name, df in parts.items():
-        out += [name, df._show_string(rows, 60, False) if hasattr(df, "_show_string") else str(df.limit(rows).collect())]
+        lines = [df.columns] + [["null" if v is None else str(v) for v in r] for r in _small(df, most)]
+        widths = [max(map(len, column)) for column in zip(*lines, strict=True)]
+        out += [name, *("  ".join(v.ljust(w) for v, w in zip(line, widths, strict=True)).rstrip() for line in lines), ""]
     return "\n".join([*out, "```", ""])

@@ -22,7 +22,7 @@ def stream_accuracy(
 ) -> DataFrame:
     """Accuracy by group over a file stream, after all files that are there now: `by`, `n`, `correct`.
 
-    With `key`, rows repeated under one key count once, in whichever files they arrive; with `answers` (completion, gold),
+    Rows whose group is null are a group of their own. With `key`, rows repeated under one key count once, in whichever files they arrive; with `answers` (completion, gold),
     completions are graded, and `right` is the name of the grade, not a column.
     The aggregate state is a row a group, and with `key` each key; each trigger reads some of the files, and the result of the
     last one is returned.
@@ -34,7 +34,6 @@ def stream_accuracy(
         rows = reader.option("pathGlobFilter", place.getName()).parquet(place.getParent().toString())
     else:
         rows = reader.parquet(path)
-    rows = rows.where(F.col(by[0]).isNotNull())
     if answers:
         rows = grade(rows.select(*dict.fromkeys([*by, *([key] if key else []), *answers])), *answers, right)
     if key:

@@ -27,6 +27,16 @@ def test_mix_and_jsonl(spark):
     assert out.select(D.to_jsonl("p", "level")).first()[0] == '{"p":"x","level":null}'
 
 
+def test_tasks_and_nested_turns(spark):
+    tasks = {"one": lambda: spark.range(2)}
+    assert D.load_task("one", tasks).count() == 2
+    with pytest.raises(ValueError):
+        D.load_task("two", tasks)
+    turns = spark.createDataFrame([(1, 1, "user", "b"), (1, 0, None, "a"), (1, 1, "user", "b"), (2, 0, "user", None)], "id int, turn int, role string, content string")
+    found = {r.id: [(m.role, m.content) for m in r.messages] for r in D.nested(turns, ["id"], "turn").collect()}
+    assert found == {1: [(None, "a"), ("user", "b")], 2: [("user", None)]}
+
+
 def samples(spark):
     rows = [("m", 1, 0, False, 1), ("m", 1, 1, True, 1), ("m", 2, 0, False, None), ("m", 2, 1, False, None), ("n", 1, 0, True, 1), ("n", 2, 0, True, None), ("m", 3, 0, None, 2)]
     return spark.createDataFrame(rows, "model string, eval_id int, sample_idx int, correct boolean, level int")

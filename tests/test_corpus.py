@@ -41,6 +41,18 @@ def test_balanced_budget(spark, target, parts):
     assert [r.seq for r in found] == list(range(1, len(found) + 1))
 
 
+def test_documents_without_a_source_are_a_source(spark):
+    df = spark.createDataFrame([(1, None, 5), (2, "a", 5), (3, None, 5), (4, "b", 5)], "doc_id long, source string, size long")
+    assert [(r.doc_id, r.round, r.seq) for r in C.balanced_order(df, "source", ["doc_id"]).orderBy("seq").collect()] == [(1, 1, 1), (2, 1, 2), (4, 1, 3), (3, 2, 4)]
+    assert C.balanced_budget(df, "source", ["doc_id"], "size", 10**6, least=1).count() == 4
+
+
+def test_characters(spark):
+    df = spark.createDataFrame([("aab",), (None,), ("",), ("é\U0001f600a\x00",)], "t string").repartition(3)
+    assert {r.character: r.n for r in P.characters(df, "t").collect()} == {"a": 3, "b": 1, "é": 1, "\U0001f600": 1, "\x00": 1}
+    assert P.characters(df.limit(0), "t").count() == 0
+
+
 def test_budget_of_nothing(spark):
     _, df = documents(spark)
     assert C.budget_cut(df.limit(0), ["doc_id"], "size", 10).count() == 0

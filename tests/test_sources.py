@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import corpus as C
+from millrace import storage
 from millrace.plans import pipelines
 from millrace.sources import jsonl, shards
 from millrace.streaming.generation import oracle, with_completions
@@ -71,6 +72,46 @@ def test_stream_equals_batch(spark, tmp_path):
     assert found == {level: (20, 10) for level in range(3)}
 
 
+def test_stream_keeps_groups_without_a_name(spark, tmp_path):
+    spark.createDataFrame([(1, True), (None, True), (None, None)], "level int, correct boolean").write.parquet(str(tmp_path / "in"))
+    assert {r.level: (r.n, r.correct) for r in stream_accuracy(spark, str(tmp_path / "in"), ["level"], "correct").collect()} == {1: (1, 1), None: (2, 1)}
+
+
+def test_reports_are_whole_or_an_error(spark):
+    df = spark.range(80)
+    assert all(f"\n{i}\n" in shards.markdown_report("t", {"part": df}) for i in range(80))
+    with pytest.raises(ValueError):
+        shards.markdown_report("t", {"part": df}, 50)
+    with pytest.raises(ValueError):
+        shards.report_text(df, 50)
+
+
+def test_scope_drops_its_tables_only(spark):
+    import os
+
+    kept = storage.materialise(spark.range(3), "kept")
+    with storage.scope(spark):
+        gone = storage.materialise(spark.range(3), "gone")
+        assert gone.count() == 3
+        path = gone.inputFiles()[0].removeprefix("file://")
+    assert not os.path.exists(path) and kept.count() == 3
+
+
+def test_grpo_and_evaluation(spark, tmp_path):
+    schema = "id int, problem string, answer string, source string, level int, solution string"
+    rows = [(1, "p", "so\n#### 1,000", "gsm8k", None, "so 1000"), (2, "q", " 7 ", "math", 3, "it is 8"), (3, "r", "none", "gsm8k", None, "x"), (4, "s", " ", "math", 1, "x"), (5, "t", "1", "omi", 1, "1")]
+    found = pipelines.grpo_to_jsonl(spark.createDataFrame(rows, schema), str(tmp_path / "g"))
+    assert found == {"gsm8k": {"n": 1, "agreement": 1.0}, "math": {"n": 1, "agreement": 0.0}}
+    lines = [json.loads(x) for p in sorted((tmp_path / "g").glob("part-*")) for x in p.read_text().splitlines()]
+    assert lines == [{"problem": "p", "answer": "1,000", "source": "gsm8k", "level": None}, {"problem": "q", "answer": "7", "source": "math", "level": 3}]
+    with pytest.raises(ValueError):
+        pipelines.grpo_to_jsonl(spark.createDataFrame(rows, schema), str(tmp_path / "h"), least=0.85)
+    graded = spark.createDataFrame([("math", "so \\boxed{5}", "5", 2), ("math", None, "5", 2), ("math", "6", "5", None), ("gsm8k", "#### 3", "3", None)], "task string, completion string, gold string, level int")
+    report = {r.task: json.loads(r.report) for r in pipelines.evaluate(graded, facts={"model": "m", "k": 1}).collect()}
+    assert report["math"] == {"model": "m", "k": 1, "task": "math", "n": 3, "correct": 1, "accuracy": 0.3333, "by_level": {"2": {"correct": 1, "total": 2}}}
+    assert report["gsm8k"]["by_level"] == {} and report["gsm8k"]["accuracy"] == 1.0
+
+
 def test_stream_grades_and_counts_records_once(spark, tmp_path):
     def row(i):
         return (i, i % 3, i % 2 == 0, "7", f"so\n#### {7 if i % 4 else 8}" if i else None)
