@@ -14,11 +14,13 @@ PIECE_BYTES = 4_000_000
 
 
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = PIECE_BYTES, rows: int = 8192) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose `column` holds about `most` bytes at the most; a longer single text is a slice of its own."""
+    """Slices of the batches whose `column` holds about `most` bytes (of lists: values) at the most; a longer single one is a slice of its own."""
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+        held_by = batch.column(batch.schema.get_field_index(column))
+        length = pc.list_value_length if pa.types.is_list(held_by.type) or pa.types.is_large_list(held_by.type) else pc.binary_length
+        sizes = pc.fill_null(length(held_by), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
             if i > start and (held + size > most or i - start >= rows):

@@ -80,5 +80,6 @@ ORACLES: dict[str, str] = {
     "p6_token_budget": f"""{_TOKENS}, keyed AS (SELECT * FROM tokens JOIN {_KEYS} USING (doc_id)),
     cells AS (SELECT 'subset' AS dimension, subset AS value, n_tokens FROM keyed UNION ALL SELECT 'source', source, n_tokens FROM keyed UNION ALL SELECT 'language', language, n_tokens FROM keyed UNION ALL SELECT 'domain', domain, n_tokens FROM keyed)
     SELECT dimension, value, count(*) AS n_docs, sum(n_tokens)::BIGINT AS n_tokens FROM cells GROUP BY dimension, value""",
+    "p8_coverage": f"{_LEAK} SELECT a AS eval_id, b AS doc_id, k::INTEGER AS covered, n::INTEGER AS n_query, k / n AS coverage FROM met JOIN e_n ON e_n.id = a WHERE k / n >= 0.5",
     "p8_found": f"{_LEAK} SELECT a AS eval_id, b AS doc_id FROM met JOIN e_n ON e_n.id = a WHERE k / n >= 0.5",
 }

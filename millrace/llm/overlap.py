@@ -9,7 +9,8 @@ extra columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -21,75 +22,104 @@ from millrace.llm.blocks import BLOCK_CHARS, nothing, over_blocks, usable
 from millrace.llm.text import words
 
 SCHEMA = "query_id long, id long, shared int, n_query int, n_text int, overlap double, coverage double"
-#: (text, evaluation record) cells counted at once.
-CELLS = 4_000_000
 
 
 class Automaton:
-    """The shingles of a block of evaluation passages, with the records and places that each stands for."""
+    """The shingles of a block of evaluation passages, with the records that each stands for.
 
-    def __init__(self, block: list[tuple[int, str]], size: int) -> None:
+    A record's seeds are its shingles that the fewest records of the block have, as many as no text can lack that overlaps it by the
+    threshold. Only seeds lead from a text to records, so that a shingle that all records have leads to none.
+    """
+
+    def __init__(self, block: list[tuple[int, str]], size: int, threshold: float) -> None:
         self.size, self.tree = size, ahocorasick.Automaton()
         codes: dict[str, int] = {}
-        self.places: list[dict[int, list[int]]] = []
-        self.lengths, kept = [], []
+        kept, self.texts, flat, counts = [], [], [], []
         for key, text in block:
-            w = words(text)
-            if len(w) < size:
-                continue
-            places: dict[int, list[int]] = {}
-            for i in range(len(w) - size + 1):
-                passage = f" {' '.join(w[i : i + size])} "
-                if (code := codes.get(passage)) is None:
-                    code = codes[passage] = len(codes)
-                    self.tree.add_word(passage, code)
-                places.setdefault(code, []).append(i)
-            kept.append(key)
-            self.places.append(places)
-            self.lengths.append(len(w))
-        self.ids = np.array(kept, np.int64)
-        self.counts = np.array([len(p) for p in self.places], np.int64)
-        pairs = np.array([(code, k) for k, p in enumerate(self.places) for code in p] or np.zeros((0, 2)), np.int64)
-        pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-        self.owners, self.starts = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(codes) + 1))
+            mine = {codes.setdefault(p, len(codes)) for p in self.passages(words(text))}
+            if mine:
+                kept.append(key)
+                self.texts.append(text)
+                flat += sorted(mine)
+                counts.append(len(mine))
+        for passage, code in codes.items():
+            self.tree.add_word(passage, code)
+        self.codes, self.ids, self.counts = codes, np.array(kept, np.int64), np.array(counts, np.int64)
+        self.flat, self.starts = np.array(flat, np.int64), np.concatenate(([0], np.cumsum(self.counts)))
+        owner = np.repeat(np.arange(len(kept)), self.counts)
+        order = np.lexsort((self.flat, np.bincount(self.flat, minlength=len(codes))[self.flat], owner))
+        rank = np.arange(len(owner)) - self.starts[owner]
+        need = self.counts - np.ceil(self.counts * threshold - 1e-9).astype(np.int64) + 1
+        seeds = order[rank < need[owner]]
+        seeds = seeds[np.argsort(self.flat[seeds], kind="stable")]
+        self.owners, self.seed_starts = owner[seeds], np.searchsorted(self.flat[seeds], np.arange(len(codes) + 1))
         if codes:
             self.tree.make_automaton()
 
+    def passages(self, w: list[str]) -> list[str]:
+        return [f" {' '.join(w[i : i + self.size])} " for i in range(len(w) - self.size + 1)]
+
     def hits(self, w: list[str]) -> set[int]:
         return {code for _, code in self.tree.iter(f" {' '.join(w)} ")} if len(self.ids) else set()
 
+    def candidates(self, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, record) pairs of which the text has a seed of the record, each once."""
+        width = self.seed_starts[code + 1] - self.seed_starts[code]
+        at = np.repeat(self.seed_starts[code] - np.cumsum(width) + width, width) + np.arange(width.sum())
+        pairs = np.unique(np.repeat(row, width) * len(self.ids) + self.owners[at])
+        return pairs // len(self.ids), pairs % len(self.ids)
+
+    def shared(self, row: np.ndarray, code: np.ndarray, text: np.ndarray, record: np.ndarray) -> np.ndarray:
+        """How many of each record's shingles its text has; (row, code) are the hits of all texts."""
+        n = len(self.codes)
+        known = np.sort(row * n + code)
+        width = self.counts[record]
+        begin = np.cumsum(width) - width
+        wanted = self.flat[np.repeat(self.starts[record] - begin, width) + np.arange(width.sum())] + np.repeat(text, width) * n
+        at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+        return np.add.reduceat((known[at] == wanted).astype(np.int64), begin) if len(record) else np.zeros(0, np.int64)
+
     def coverage(self, k: int, hits: set[int]) -> float:
         """Share of the words of passage k inside the merged intervals of its shingles among the hits."""
+        w = words(self.texts[k])
         covered = reach = 0
-        for at in sorted(i for code, places in self.places[k].items() if code in hits for i in places):
-            covered += at + self.size - max(at, reach)
-            reach = at + self.size
-        return covered / self.lengths[k]
+        for at, passage in enumerate(self.passages(w)):
+            if self.codes[passage] in hits:
+                covered += at + self.size - max(at, reach)
+                reach = at + self.size
+        return covered / len(w)
+
+
+_HELD: dict[str, Automaton] = {}
+
+
+def _held(key: str, make: Callable[[], Automaton]) -> Automaton:
+    """The automaton of a block, built once in each worker process; the one before it is let go."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
 
 
-def _scan(shared, size: int, threshold: float):
+def _scan(shared, key: str, size: int, threshold: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        auto = Automaton(shared.value, size)
-        n = len(auto.ids)
-        if not n:
+        auto = _held(key, lambda: Automaton(shared.value, size, threshold))
+        if not len(auto.ids):
             return
-        least = auto.counts * threshold / (1 + threshold) - 1e-9
-        for batch in pieces(batches, "text", rows=max(1, CELLS // n)):
-            ids, texts = values(batch, "id"), values(batch, "text")
-            split = [words(t) for t in texts]
+        for batch in pieces(batches, "text"):
+            ids, split = values(batch, "id"), [words(t) for t in values(batch, "text")]
             hits = [auto.hits(w) if len(w) >= size else set() for w in split]
             row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
             code = np.fromiter((c for h in hits for c in h), np.int64, len(row))
-            width = auto.starts[code + 1] - auto.starts[code]
-            first = np.repeat(auto.starts[code] - np.cumsum(width) + width, width)
-            owner = auto.owners[first + np.arange(len(first))]
-            shared_count = np.bincount(np.repeat(row, width) * n + owner, minlength=len(hits) * n).reshape(-1, n)
+            text, record = auto.candidates(row, code)
+            both = auto.shared(row, code, text, record)
+            likely = both >= auto.counts[record] * threshold - 1e-9
             out = []
-            for r, k in zip(*np.nonzero((shared_count >= least) & (shared_count > 0)), strict=True):
-                w, both, mine = split[r], int(shared_count[r, k]), int(auto.counts[k])
+            for r, k, n in zip(text[likely].tolist(), record[likely].tolist(), both[likely].tolist(), strict=True):
+                w, mine = split[r], int(auto.counts[k])
                 theirs = len(set(zip(*(w[i:] for i in range(size)), strict=False)))
-                if (score := both / (mine + theirs - both)) >= threshold:
-                    out.append((int(auto.ids[k]), ids[r], both, mine, theirs, score, auto.coverage(k, hits[r])))
+                if (score := n / (mine + theirs - n)) >= threshold:
+                    out.append((int(auto.ids[k]), ids[r], n, mine, theirs, score, auto.coverage(k, hits[r])))
             if out:
                 cols = list(zip(*out, strict=True))
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
@@ -108,6 +138,6 @@ def overlaps(queries: DataFrame, texts: DataFrame, *, size: int = 3, threshold:
 
     def run(block: list[tuple[int, str]]) -> DataFrame:
         shared = queries.sparkSession.sparkContext.broadcast(block)
-        return usable(texts).mapInArrow(_scan(shared, size, threshold), SCHEMA)
+        return usable(texts).mapInArrow(_scan(shared, uuid.uuid4().hex, size, threshold), SCHEMA)
 
     return over_blocks(usable(queries), run, lambda: nothing(queries, SCHEMA), block_chars).distinct()

@@ -49,11 +49,33 @@ def test_overlaps_against_brute_force(spark, chars):
 def test_leaks_against_brute_force(spark, chars):
     queries, texts = world(6)
     q, t = frames(spark, queries, texts)
-    got = {(r.query_id, r.id): r.coverage for r in leakage.leaks(q, t, block_chars=chars).collect()}
+    got = {(r.query_id, r.id): r.coverage for r in leakage.leaks(q, t, aligned=2, block_chars=chars).collect()}
     want = {(a, b): len(triples(x) & triples(y)) / len(triples(x)) for a, x in queries.items() for b, y in texts.items() if triples(x) and len(triples(x) & triples(y)) >= 0.5 * len(triples(x))}
     assert got == pytest.approx(want) and len(want) > 20
 
 
+def test_alignment_decides_on_paraphrases(spark):
+    """Copies with every fourth word changed keep under half of the triples; only their alignment shows them."""
+    rng = random.Random(3)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    queries = {i: " ".join(rng.choices(vocabulary, k=24)) for i in range(30)}
+    texts = {}
+    for i, q in queries.items():
+        w = [x if k % 4 != 2 or k == 2 else rng.choice(vocabulary) for k, x in enumerate(q.split())]
+        texts[100 + i] = " ".join(rng.choices(vocabulary, k=50) + w + rng.choices(vocabulary, k=50))
+        texts[200 + i] = " ".join(rng.choices(vocabulary, k=60) + q.split()[:3] + rng.choices(vocabulary, k=60))
+    q, t = frames(spark, queries, texts)
+    found = {(r.query_id, r.id): r for r in leakage.leaks(q, t).collect()}
+    assert set(found) == {(i, 100 + i) for i in queries} and all(r.coverage < 0.5 <= r.aligned for r in found.values())
+    assert leakage.leaks(q, t, aligned=2).count() == 0
+
+
+def test_alignments_grow_with_hits_not_with_passages():
+    item, place, length, cuts = np.array([0, 0, 1, 0]), np.array([5, 8, 5, 95]), np.array([10, 10, 4, 10]), np.array([40, 60])
+    who, begin, end = leakage._windows(item, place, length, cuts, 3)
+    assert who.tolist() == [0, 0, 1] and begin.tolist() == [0, 77, 0] and end.tolist() == [29, 100, 20]
+
+
 def test_alignment_against_a_table():
     rng = random.Random(1)
     items = [np.array(rng.choices(range(1, 6), k=rng.randint(1, 12)), np.int32) for _ in range(60)]
