@@ -9,7 +9,6 @@ import numpy as np
 from millrace.llm.text import remix
 
 MANTISSA_BITS = 10
-ZEROS = 54  # a value is cut to 53 bits, so it has 0 to 53 leading zeros
 
 
 @lru_cache(maxsize=4)

@@ -1,8 +1,8 @@
 """Problem 5: records of several sources mixed to target shares of the total size.
 
-Documents are counted by source and exact length. A source's budget is met by whole passes over it and one partial pass. In the
-partial pass each length gives the share of its documents that the budget leaves, whole documents only; a bounded-knapsack
-subset sum then chooses further documents by length so that what remains is filled as exactly as can be. Which documents of a
+Documents are counted by source and exact length. A source's budget is met by whole passes over it and one partial pass. If the
+knapsack can't take in the whole partial pass, each length first gives the share of its documents that the budget leaves; a bounded-knapsack
+subset sum then chooses (further) documents by length so that what remains is filled as exactly as can be. Which documents of a
 length are used is decided by a seeded rank.
 
 Defined results: null and empty texts have no size and are used never; a source without a target, or a target without
@@ -21,8 +21,10 @@ from millrace.ranking import salted_rank
 from millrace.storage import materialise
 
 CHOICE = "key string, length int, passes long, extra long"
-#: Characters that the knapsack fills exactly; sources larger than this are thinned in proportion first.
-WINDOW = 400_000
+#: Characters that the knapsack fills exactly at the least, and at the most; and steps of its table that it may take for more than the least.
+WINDOW, EXACT, STEPS = 400_000, 40_000_000, 4_000_000_000
+#: Documents of which all sums are formed.
+FEW = 18
 
 
 def clean_key(column: Column) -> Column:
@@ -62,27 +64,66 @@ def subset_sum(lengths: np.ndarray, counts: np.ndarray, target: int) -> dict[int
     return taken
 
 
-def choose(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, window: int = WINDOW) -> tuple[int, np.ndarray]:
-    """(whole passes, documents of each length in the partial pass) for a budget in characters."""
+def _spread(lengths: np.ndarray, spare: np.ndarray, rest: int, window: int, order: np.ndarray) -> tuple[np.ndarray, int]:
+    """Documents of each length that bring `rest` down towards `window`, and what then remains.
+
+    Each round takes up to a tenth of the spare documents of a length, so that the mix of lengths stays as it is; the last ones
+    are left to the subset sum.
+    """
+    taken = np.zeros(len(lengths), np.int64)
+    moved = True
+    while rest > window and moved:
+        moved = False
+        for i in order.tolist():
+            n = int(min(-(-(spare[i] - taken[i]) // 10), (rest - window // 2) // lengths[i]))
+            if n > 0:
+                taken[i] += n
+                rest -= n * int(lengths[i])
+                moved = True
+            if rest <= window:
+                break
+    return taken, rest
+
+
+def few_sums(lengths: np.ndarray, counts: np.ndarray, target: int) -> dict[int, int]:
+    """As subset_sum, by all sums of a few documents of any length."""
+    reached: dict[int, dict[int, int]] = {0: {}}
+    for length, count in zip(lengths.tolist(), counts.tolist(), strict=True):
+        for held, taken in list(reached.items()):
+            for n in range(1, min(count, (target - held) // length) + 1):
+                reached.setdefault(held + n * length, taken | {length: n})
+    return reached[max(reached)]
+
+
+def choose(lengths: np.ndarray, counts: np.ndarray, budget: int, seed: int, window: int = WINDOW, exact: int = EXACT) -> tuple[int, np.ndarray]:
+    """(whole passes, documents of each length in the partial pass) for a budget in characters.
+
+    A rest of up to `window` characters (more where few lengths are left, up to `exact`) is filled as nearly as the documents left allow; a
+    larger one is brought down first, or, with up to FEW documents, all of their sums are formed. So a rest can stay open only if more than FEW
+    documents remain that are longer than `exact` allows for. `lengths` are in ascending order.
+    """
     total = int((lengths * counts).sum())
     passes, rest = divmod(budget, total)
     if not rest:
         return passes, np.zeros(len(lengths), np.int64)
-    extra = np.array([int(c) * rest // total for c in counts.tolist()], np.int64)
-    rest -= int((lengths * extra).sum())
+    extra = np.zeros(len(lengths), np.int64)
+    parts = int(np.log2(counts + 1).sum()) + len(lengths)
+    window = min(exact, max(window, STEPS // parts))
+    fits = lengths <= rest
+    if rest > exact and counts[fits].sum() <= FEW:
+        for length, n in few_sums(lengths[fits], counts[fits], rest).items():
+            extra[int(np.searchsorted(lengths, length))] = n
+        return passes, extra
+    if rest > window:
+        extra = np.array([int(c) * rest // total for c in counts.tolist()], np.int64)
+        rest -= int((lengths * extra).sum())
     order = np.random.default_rng(seed).permutation(len(lengths))
-    for i in order.tolist():
-        if rest <= window:
-            break
-        n = int(min(counts[i] - extra[i], (rest - window // 2) // lengths[i]))
-        if n > 0:
-            n = min(n, 1 + int(counts[i]) // 50)
-            extra[i] += n
-            rest -= n * int(lengths[i])
+    taken, rest = _spread(lengths, counts - extra, rest, window, order)
+    extra += taken
     some = order[(counts - extra)[order] > 0]
     place = {int(x): i for i, x in enumerate(lengths.tolist())}
     if rest > 0 and len(some):
-        for length, n in subset_sum(lengths[some], (counts - extra)[some], min(rest, 4 * window)).items():
+        for length, n in subset_sum(lengths[some], (counts - extra)[some], min(rest, exact)).items():
             extra[place[length]] += n
     return passes, extra
 

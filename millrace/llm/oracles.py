@@ -40,7 +40,7 @@ def _groups(name: str, rows: str, key: str, text: str) -> str:
     met AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM r_t x JOIN r_t y ON x.t = y.t AND x.id < y.id GROUP BY ALL),
     links AS MATERIALIZED (SELECT a, b FROM met JOIN {name}_n p ON p.id = a JOIN {name}_n q ON q.id = b WHERE k / (p.n + q.n - k) >= 0.5),
     ends AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links), reach(a, b) AS (SELECT a, b FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b)
-    SELECT id, rep, coalesce((SELECT min(least(r.a, r.b)) FROM reach r WHERE r.a = rep), rep) AS group_id, (SELECT count(*) FROM ends e WHERE e.a = rep) AS n_links FROM members)"""
+    SELECT id, rep, coalesce((SELECT min(least(r.a, r.b)) FROM reach r WHERE r.a = rep), rep) AS group_id FROM members)"""
 
 
 _CHAT = "(SELECT sft_id, array_to_string(list_transform(list_filter(messages, lambda m: lower(trim(coalesce(m.role, ''))) <> 'system'), lambda m: coalesce(m.content, '')), chr(10)) AS said FROM sft)"
@@ -74,8 +74,11 @@ ORACLES: dict[str, str] = {
     FROM covered JOIN eval_row ON eval_id = a JOIN g ON problem_id = b GROUP BY 1, 2""".replace("\\\\s", "\\s"),
     "p2_found": rf"""SELECT doc_id, CASE WHEN list_max(list_transform(regexp_split_to_array(text, '[{_SPACE}.!?;:,。！？；：，]'), lambda x: length(x))) > 4000 THEN 'forced' ELSE 'natural' END AS cut_kind
     FROM documents WHERE length(text) > 4000""",
+    "p2_rebuilt": "SELECT doc_id, length(text)::BIGINT AS n_chars, md5(text) AS digest, true AS legal FROM documents WHERE length(text) > 4000",
+    "p5_kept": "SELECT DISTINCT trim(subset) AS subset, true AS repeats_kept, true AS share_kept, 0::BIGINT AS n_wrong FROM mix_target WHERE target_share > 0",
+    "p7_kept": f"{_TOKENS} SELECT doc_id, n_tokens, true AS fills_kept FROM tokens",
     "p3_found": f"SELECT 'documents' AS table_name, a AS id_a, b AS id_b FROM {_near('d', 'documents', 'doc_id', 'text')} UNION ALL SELECT 'sft', a, b FROM {_near('s', _CHAT, 'sft_id', 'said')}",
-    "p3_groups": f"SELECT 'documents' AS table_name, id, rep, group_id, n_links FROM {_groups('d', 'documents', 'doc_id', 'text')} UNION ALL SELECT 'sft', id, rep, group_id, n_links FROM {_groups('s', _CHAT, 'sft_id', 'said')}",
+    "p3_groups": f"SELECT 'documents' AS table_name, id, rep, group_id FROM {_groups('d', 'documents', 'doc_id', 'text')} UNION ALL SELECT 'sft', id, rep, group_id FROM {_groups('s', _CHAT, 'sft_id', 'said')}",
     "p6_doc_tokens": f"{_TOKENS} SELECT doc_id, n_tokens FROM tokens",
     "p6_token_budget": f"""{_TOKENS}, keyed AS (SELECT * FROM tokens JOIN {_KEYS} USING (doc_id)),
     cells AS (SELECT 'subset' AS dimension, subset AS value, n_tokens FROM keyed UNION ALL SELECT 'source', source, n_tokens FROM keyed UNION ALL SELECT 'language', language, n_tokens FROM keyed UNION ALL SELECT 'domain', domain, n_tokens FROM keyed)

@@ -1,7 +1,7 @@
 """Problem 1: the same or almost the same record in an evaluation split and in the training split.
 
-The shingles of the evaluation passages of a block form one Aho-Corasick automaton, which scans every training text. Hits
-give the shingles that both share; the word intervals that they take in the evaluation passage are merged into its coverage.
+The rarest shingles of the evaluation passages of a block form one Aho-Corasick automaton, which scans every training text. Where it
+hits, the shingles that both share are counted; the word intervals that they take in the evaluation passage are merged into its coverage.
 
 Defined results: null texts and texts of fewer words than a shingle overlap with nothing; a repeated row counts once;
 extra columns are ignored; an empty table gives an empty result.
@@ -42,8 +42,6 @@ class Automaton:
                 self.texts.append(text)
                 flat += sorted(mine)
                 counts.append(len(mine))
-        for passage, code in codes.items():
-            self.tree.add_word(passage, code)
         self.codes, self.ids, self.counts = codes, np.array(kept, np.int64), np.array(counts, np.int64)
         self.flat, self.starts = np.array(flat, np.int64), np.concatenate(([0], np.cumsum(self.counts)))
         owner = np.repeat(np.arange(len(kept)), self.counts)
@@ -53,14 +51,22 @@ class Automaton:
         seeds = order[rank < need[owner]]
         seeds = seeds[np.argsort(self.flat[seeds], kind="stable")]
         self.owners, self.seed_starts = owner[seeds], np.searchsorted(self.flat[seeds], np.arange(len(codes) + 1))
-        if codes:
+        # Seeds alone are scanned for; what else a text shares is looked up where they lead to a record.
+        wanted = np.diff(self.seed_starts) > 0
+        for passage, code in codes.items():
+            if wanted[code]:
+                self.tree.add_word(passage, code)
+        if wanted.any():
             self.tree.make_automaton()
 
     def passages(self, w: list[str]) -> list[str]:
         return [f" {' '.join(w[i : i + self.size])} " for i in range(len(w) - self.size + 1)]
 
     def hits(self, w: list[str]) -> set[int]:
-        return {code for _, code in self.tree.iter(f" {' '.join(w)} ")} if len(self.ids) else set()
+        """The known shingles of a text's words, none if it has no seed."""
+        if len(w) < self.size or next(self.tree.iter(f" {' '.join(w)} "), None) is None:
+            return set()
+        return {self.codes[p] for p in self.passages(w) if p in self.codes}
 
     def candidates(self, row: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(text, record) pairs of which the text has a seed of the record, each once."""
@@ -108,10 +114,12 @@ def _scan(shared, key: str, size: int, threshold: float):
             return
         for batch in pieces(batches, "text"):
             ids, split = values(batch, "id"), [words(t) for t in values(batch, "text")]
-            hits = [auto.hits(w) if len(w) >= size else set() for w in split]
+            hits = list(map(auto.hits, split))
             row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
             code = np.fromiter((c for h in hits for c in h), np.int64, len(row))
             text, record = auto.candidates(row, code)
+            if not len(text):
+                continue
             both = auto.shared(row, code, text, record)
             likely = both >= auto.counts[record] * threshold - 1e-9
             out = []

@@ -11,9 +11,12 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,11 +26,11 @@ from millrace.storage import materialise
 PLAN = "length int, first long, last long, per int, pattern int, container long, times long, fill int"
 
 
-def fill_one(lengths: list[int], counts: dict[int, int], room: int) -> dict[int, int]:
+def fill_one(lengths: Iterable[int], counts: dict[int, int], room: int) -> dict[int, int]:
     """How many of each length to take so that their sum is as near to `room` as can be, without passing it.
 
-    One bitset holds the sums reached so far; `first` holds for each sum the length that reached it first, from which the
-    counts are traced back.
+    One bitset holds the sums reached so far; the bitset before each length is kept, from which the counts are traced back. Lengths are
+    read only until the room is filled.
     """
     reached, mask = 1, (1 << (room + 1)) - 1
     layers = []
@@ -56,17 +59,22 @@ def fill_one(lengths: list[int], counts: dict[int, int], room: int) -> dict[int,
 def plan(counts: dict[int, int], capacity: int) -> Iterator[tuple[dict[int, int], int]]:
     """(lengths in a container and how many of each, number of containers filled so) until no item is left."""
     left = {length: n for length, n in counts.items() if n > 0}
-    order = sorted(left, reverse=True)
-    while order:
-        longest = order[0]
+    order, live = sorted(left, reverse=True), len(left)
+    begin = 0
+    while live:
+        while not left[order[begin]]:
+            begin += 1
+        if len(order) - begin > 2 * live:  # used-up lengths are dropped now and then
+            order, begin = [x for x in order[begin:] if left[x]], 0
+        longest = order[begin]
         left[longest] -= 1
-        taken = fill_one([x for x in order if left[x]], left, capacity - longest)
+        taken = fill_one((x for x in islice(order, begin, None) if left[x]), left, capacity - longest)
         left[longest] += 1
         taken[longest] = taken.get(longest, 0) + 1
         times = min(left[x] // n for x, n in taken.items())
         for x, n in taken.items():
             left[x] -= n * times
-        order = [x for x in order if left[x]]
+            live -= not left[x]
         yield taken, times
 
 
@@ -101,12 +109,7 @@ def pack(items: DataFrame, capacity: int, seed: int = 7) -> DataFrame:
     histogram = rests.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
     planned = materialise(histogram.groupBy(F.lit("all")).applyInPandas(_plan_table(capacity), PLAN), "plan")
     places = salted_rank(rests, ["length"], F.xxhash64(F.lit(seed), "id"), ["id", "part"], "place")
-    # Dealing by whole ranges: a place belongs to the last range of its length that begins at or before it.
-    ranges = planned.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "per", "container", "times", "fill"))).alias("ranges"))
-    found = F.element_at(F.filter("ranges", lambda r: r["first"] <= F.col("place")), -1)
-    dealt = places.join(F.broadcast(ranges), "length").withColumn("r", found)
-    inside = F.floor((F.col("place") - F.col("r.first")) / F.col("r.per")).cast("long")
-    dealt = dealt.select("id", "part", F.col("length").cast("long").alias("size"), (F.col("r.container") + inside).alias("container"), F.col("r.fill").cast("long").alias("fill"))
+    dealt = _deal(places, planned)
     base = planned.agg(F.coalesce(F.max(F.col("container") + F.col("times")), F.lit(0)).alias("base"))
     wholes = items.where(full > 0).withColumn("full", full)
     wholes = salted_offsets(wholes, seed).crossJoin(F.broadcast(base))
@@ -116,6 +119,37 @@ def pack(items: DataFrame, capacity: int, seed: int = 7) -> DataFrame:
     return dealt.unionByName(wholes).unionByName(none)
 
 
+def _deal(places: DataFrame, planned: DataFrame, most: int = 4_000_000) -> DataFrame:
+    """`id`, `part`, `size`, `container`, `fill` of items by `length` and `place`: a place belongs to the last range of its length that begins at or before it.
+
+    The plan has a row for each filling and length in it, whatever the number of items; its count is checked before it is sent to all tasks.
+    """
+    rows = planned.select("length", "first", "per", "container", "fill").limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        raise ValueError(f"a plan of more than {most} rows")
+    table = {c: rows.column(c).to_numpy().astype(np.int64) for c in rows.column_names}
+    order = np.lexsort((table["first"], table["length"]))
+    shared = places.sparkSession.sparkContext.broadcast({c: v[order] for c, v in table.items()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        starts = np.flatnonzero(np.diff(held["length"], prepend=-1))
+        known = held["length"][starts]
+        ends = np.append(starts[1:], len(held["length"]))
+        for batch in batches:
+            length, place = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "place"))
+            group = np.searchsorted(known, length)
+            at = np.zeros(len(length), np.int64)
+            for g in np.unique(group):
+                rows_of = np.flatnonzero(group == g)
+                at[rows_of] = starts[g] + np.searchsorted(held["first"][starts[g] : ends[g]], place[rows_of], "right") - 1
+            inside = (place - held["first"][at]) // held["per"][at]
+            columns = [batch.column(batch.schema.get_field_index("id")), batch.column(batch.schema.get_field_index("part")), pa.array(length), pa.array(held["container"][at] + inside), pa.array(held["fill"][at])]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "part", "size", "container", "fill"])
+
+    return places.select("id", "part", "length", "place").mapInArrow(run, "id long, part int, size long, container long, fill long")
+
+
 def salted_offsets(df: DataFrame, seed: int, buckets: int = 256) -> DataFrame:
     """Adds `before`: the sum of `full` over the rows before, in the order of hash ranges that are summed apart."""
     tagged = df.withColumn("_h", F.xxhash64(F.lit(seed), "id")).withColumn("_b", F.pmod("_h", F.lit(buckets)))

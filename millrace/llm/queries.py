@@ -12,6 +12,7 @@ from millrace.llm import abuse, leakage, mixing, overlap, packing, pair_defects,
 from millrace.llm import near_duplicates as nd
 from millrace.llm.oracles import ORACLES
 from millrace.shipping import shipped
+from millrace.storage import materialise
 from millrace.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,7 +73,8 @@ def p1_split_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     capacity, shared = _cap(spark, sf_dir, "split")
     spans = splitting.piece_spans(_documents(spark, sf_dir), capacity, shared).where("piece_no = 0")
-    kind = F.when(F.col("longest_run") > capacity, "forced").otherwise("natural")
+    # A stretch without boundaries shows as a cut that had to be forced; its length is checked then.
+    kind = F.when((F.col("forced") > 0) & (F.col("longest_run") > capacity), "forced").otherwise("natural")
     return spans.select(F.col("id").alias("doc_id"), kind.alias("cut_kind"))
 
 
@@ -81,6 +83,18 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splitting.split_texts(_documents(spark, sf_dir), capacity, shared).select(F.col("id").alias("doc_id"), "piece_no", "start", "stop", "ends", "text")
 
 
+def p2_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each cut document put together again from its pieces without their overlaps, as length and digest; whether all pieces are legal."""
+    capacity, shared = _cap(spark, sf_dir, "split")
+    pieces = p2_pieces(spark, sf_dir)
+    own = F.when(F.col("piece_no") == 0, F.col("text")).otherwise(F.substring("text", F.lit(shared + 1), F.length("text")))
+    legal = (F.length("text") <= capacity) & (F.length("text") == F.col("stop") - F.col("start"))
+    # The pieces of one document meet in one row, which is as long as the document was.
+    rows = pieces.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("piece_no", own.alias("own")))).alias("p"), F.min(legal).alias("legal"))
+    text = F.array_join(F.transform("p", lambda x: x["own"]), "")
+    return rows.select("doc_id", F.length(text).cast("long").alias("n_chars"), F.md5(text).alias("digest"), "legal")
+
+
 def _records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {
         "documents": _documents(spark, sf_dir),
@@ -88,21 +102,21 @@ def _records(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
-def _near(spark: SparkSession, sf_dir: str) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Members and links of both tables, whose jobs run side by side."""
+def _near(spark: SparkSession, sf_dir: str, run: Callable) -> dict:
+    """What an operator finds in both tables, whose jobs run side by side."""
     records = _records(spark, sf_dir)
     with ThreadPoolExecutor(len(records)) as pool:
-        running = {name: pool.submit(nd.links, df, **NEAR) for name, df in records.items()}
+        running = {name: pool.submit(run, df, **NEAR) for name, df in records.items()}
         return {name: r.result() for name, r in running.items()}
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [nd.pairs(*found).select(F.lit(name).alias("table_name"), "id_a", "id_b") for name, found in _near(spark, sf_dir).items()]
+    parts = [nd.pairs(*found).select(F.lit(name).alias("table_name"), "id_a", "id_b") for name, found in _near(spark, sf_dir, nd.links).items()]
     return parts[0].unionByName(parts[1])
 
 
 def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [nd.groups(*found).select(F.lit(name).alias("table_name"), "id", "rep", "group_id", "n_links") for name, found in _near(spark, sf_dir).items()]
+    parts = [found.select(F.lit(name).alias("table_name"), "id", "rep", "group_id") for name, found in _near(spark, sf_dir, nd.groups).items()]
     return parts[0].unionByName(parts[1])
 
 
@@ -128,6 +142,17 @@ def p5_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir)[1]
 
 
+def p5_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each target, whether the mix keeps its limit of uses and its share to one in ten thousand, and counts each document's length right."""
+    uses, report = _mix(spark, sf_dir)
+    limits = table(spark, sf_dir, "mix_target").select(F.trim("subset").alias("subset"), "max_repeat").dropDuplicates(["subset"])
+    lengths = _documents(spark, sf_dir).select("id", F.length("text").alias("chars")).dropDuplicates(["id"])
+    wrong = uses.join(lengths, "id", "left").groupBy("subset").agg(F.sum((~F.coalesce(F.col("length") == F.col("chars"), F.lit(False))).cast("long")).alias("n_wrong"))
+    kept = report.join(limits, "subset").join(wrong, "subset", "left")
+    near = F.abs(F.col("actual_share") - F.col("target_share")) < 1e-4
+    return kept.select("subset", (F.col("most_uses") <= F.col("max_repeat")).alias("repeats_kept"), near.alias("share_kept"), F.coalesce("n_wrong", F.lit(0)).cast("long").alias("n_wrong"))
+
+
 def _counted(spark: SparkSession, sf_dir: str, *others: str) -> DataFrame:
     merges = tokens.read_merges(table(spark, sf_dir, "tokenizer_merge"))
     return tokens.count_tokens(_documents(spark, sf_dir, *others), merges, list(others))
@@ -152,6 +177,15 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(items, capacity).select(F.col("id").alias("doc_id"), "part", F.col("size").alias("n_tokens"), "container", "fill")
 
 
+def p7_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of each document over all of its parts, and whether every container that holds one is as full as stated and within capacity."""
+    capacity, _ = _cap(spark, sf_dir, "pack")
+    packed = materialise(p7_containers(spark, sf_dir), "packed")
+    fills = packed.where("container IS NOT NULL").groupBy("container").agg(((F.sum("n_tokens") == F.max("fill")) & (F.max("fill") == F.min("fill")) & (F.max("fill") <= capacity)).alias("right"))
+    rows = packed.join(fills, "container", "left")
+    return rows.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.min(F.coalesce("right", F.lit(True))).alias("fills_kept"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_coverage(spark, sf_dir).select("eval_id", "doc_id")
 
@@ -187,7 +221,7 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    every = (p1_found, p1_split_source, p2_found, p2_pieces, p3_found, p3_groups, p4_found, p5_uses, p5_shares, p6_doc_tokens, p6_token_budget, p7_containers, p8_found, p8_coverage, p8_leaks, p9_found, p9_scores, p9_rates)
+    every = (p1_found, p1_split_source, p2_found, p2_pieces, p2_rebuilt, p3_found, p3_groups, p4_found, p5_uses, p5_shares, p5_kept, p6_doc_tokens, p6_token_budget, p7_containers, p7_kept, p8_found, p8_coverage, p8_leaks, p9_found, p9_scores, p9_rates)
     return {q.__name__: shipped(q) for q in every}
 
 

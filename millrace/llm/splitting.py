@@ -33,7 +33,7 @@ for _marks, _kind in ((SENTENCE_ENDS, _SENTENCE), (CLAUSE_ENDS, _CLAUSE), (WIDE_
 
 #: How a piece ends, from the best kind of boundary down.
 ENDS = ("end", "paragraph", "sentence", "other", "forced")
-SCHEMA = "id long, piece_no int, start int, stop int, ends string, longest_run int"
+SCHEMA = "id long, piece_no int, start int, stop int, ends string, longest_run int, forced int"
 
 
 def boundaries(text: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -90,15 +90,15 @@ def cuts(text: str, capacity: int, overlap: int, fill: float = 0.5) -> tuple[np.
 def _scan(capacity: int, overlap: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            out: list[list] = [[] for _ in range(6)]
+            out: list[list] = [[] for _ in range(7)]
             for key, text in zip(values(batch, "id"), values(batch, "text"), strict=True):
                 stops, kinds, run = cuts(text, capacity, overlap)
                 m = len(stops)
                 starts = np.concatenate(([0], stops[:-1] - overlap))
-                for column, found in zip(out, ([key] * m, range(m), starts.tolist(), stops.tolist(), [ENDS[k] for k in kinds], [run] * m), strict=True):
+                for column, found in zip(out, ([key] * m, range(m), starts.tolist(), stops.tolist(), [ENDS[k] for k in kinds], [run] * m, [int((kinds == 4).sum())] * m), strict=True):
                     column.extend(found)
-            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32()]
-            names = ["id", "piece_no", "start", "stop", "ends", "longest_run"]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+            names = ["id", "piece_no", "start", "stop", "ends", "longest_run", "forced"]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], names=names)
 
     return scan
@@ -107,8 +107,8 @@ def _scan(capacity: int, overlap: int):
 def piece_spans(records: DataFrame, capacity: int, overlap: int) -> DataFrame:
     """Spans of the pieces of each text (columns `id`, `text`) of more than `capacity` characters.
 
-    Result: `id`, `piece_no` from 0, `start` and `stop` in characters, how the piece `ends`, and the text's `longest_run`
-    of characters without a boundary. A piece has at most `capacity` characters; the next starts `overlap` before its end.
+    Result: `id`, `piece_no` from 0, `start` and `stop` in characters, how the piece `ends`, the text's `longest_run`
+    of characters without a boundary, and how many of its cuts are `forced`. A piece has at most `capacity` characters; the next starts `overlap` before its end.
     """
     if not 0 <= overlap < capacity:
         raise ValueError("overlap must be less than capacity and not negative")
@@ -124,9 +124,11 @@ def split_texts(records: DataFrame, capacity: int, overlap: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            for i, text in enumerate(values(batch, "text")):
-                for found in spans(iter([batch.slice(i, 1)])):
-                    cut = [text[a:b] for a, b in zip(values(found, "start"), values(found, "stop"), strict=True)]
-                    yield found.append_column("text", pa.array(cut, pa.string()))
+            for found in spans(iter([batch])):
+                # Pieces come text by text; a new text begins at each piece 0.
+                row = np.cumsum(np.array(values(found, "piece_no")) == 0) - 1
+                texts = values(batch, "text")
+                cut = [texts[i][a:b] for i, a, b in zip(row.tolist(), values(found, "start"), values(found, "stop"), strict=True)]
+                yield found.append_column("text", pa.array(cut, pa.string()))
 
     return keyed(records).where(F.length("text") > capacity).mapInArrow(scan, SCHEMA + ", text string")

@@ -43,7 +43,7 @@ def test_links_against_brute_force(spark):
     ids = sorted(held)
     want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if overlap(held[a], held[b]) >= 0.6}
     assert got <= want and len(got) >= 0.98 * len(want) > 20
-    groups = {r.id: r.group_id for r in nd.groups(members, linked).collect()}
+    groups = {r.id: r.group_id for r in nd.groups(df, size=3, threshold=0.6).collect()}
     assert all(groups[a] == groups[b] for a, b in got) and set(groups) == set(held)
 
 
@@ -63,9 +63,46 @@ def test_hot_group_of_copies(spark):
     assert members.groupBy("rep").count().where("count = 100").count() == 1
 
 
+def test_hot_bands(spark, monkeypatch):
+    """Near copies of a template share hot bands: all links come out, and groups find every member with few candidates."""
+    monkeypatch.setattr(nd, "HOT", 8)
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(120)]
+    held = {}
+    for i in range(90):
+        w = list(template)
+        for _ in range(rng.randint(1, 6)):
+            w[rng.randrange(120)] = f"x{rng.randrange(10**6)}"
+        held[i] = " ".join(w)
+    # Half of the template with words of their own: near each other, far from the rest, though they share its bands.
+    other = [f"o{i}" for i in range(90)]
+    for i in range(90, 120):
+        w = template[:40] + other
+        w[100 + rng.randrange(20)] = f"x{rng.randrange(10**6)}"
+        held[i] = " ".join(w)
+    df = spark.createDataFrame(list(held.items()), "id long, text string")
+    ready = nd.Prepared(df, 3, 0.6, 48, 4, 4.0)
+    assert ready.shared.where("n > 8").select("key").distinct().count() > 10
+    want = {(a, b) for a in held for b in held if a < b and overlap(held[a], held[b]) >= 0.6}
+    got = {(r.a, r.b) for r in nd.links(df, size=3, threshold=0.6)[1].collect()}
+    assert got <= want and len(got) >= 0.99 * len(want)
+    found = {r.id: r.group_id for r in nd.groups(df, size=3, threshold=0.6).collect()}
+    assert set(found.values()) == {0, 90} and all(found[i] == (0 if i < 90 else 90) for i in held)
+    few = ready.cold().unionByName(ready.stars()).distinct().count()
+    assert few < 0.7 * ready.cold().unionByName(ready.hot()).distinct().count()
+
+
+def test_repeated_ids_with_other_texts(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "id long, text string")
+    found = {r.id: r.group_id for r in nd.groups(df, size=3, threshold=0.6).collect()}
+    assert set(found) == {1, 2, 3} and sorted(found.values()) in ([1, 1, 2], [1, 1, 3])
+
+
 def test_empty_table(spark):
-    members, linked = nd.links(spark.createDataFrame([], "id long, text string"), size=3, threshold=0.5)
-    assert nd.pairs(members, linked).count() == 0 and nd.groups(members, linked).count() == 0
+    empty = spark.createDataFrame([], "id long, text string")
+    members, linked = nd.links(empty, size=3, threshold=0.5)
+    assert nd.pairs(members, linked).count() == 0 and nd.groups(empty, size=3, threshold=0.5).count() == 0
 
 
 def test_estimates_follow_jaccard():

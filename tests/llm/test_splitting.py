@@ -57,6 +57,15 @@ def test_round_trip(spark):
         assert all(a.text[-20:] == b.text[:20] for a, b in zip(found, found[1:], strict=False))
 
 
+def test_forced_cuts_show_long_stretches():
+    rng = random.Random(9)
+    for _ in range(300):
+        text = make(rng, rng.randint(60, 300)) + "z" * rng.choice([0, 20, 45, 70]) + make(rng, rng.randint(0, 100))
+        if len(text) > 50:
+            _, kinds, run = S.cuts(text, 50, 10)
+            assert run <= 50 or (kinds == 4).any()
+
+
 def test_longest_run():
     for text in ("", "abc", "a b", "x" * 9 + "　" + "y" * 4, " ", "；" * 3):
         want = max(map(len, __import__("re").split(r"[\s.!?;:,。！？；：，]", text)))

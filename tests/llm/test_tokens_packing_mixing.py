@@ -44,6 +44,15 @@ def test_count_tokens(spark):
     assert tokens.read_merges(table) == [("a", "b"), ("c", "d")]
 
 
+def test_counts_by_distinct_pieces_are_the_same(spark):
+    rng = random.Random(6)
+    rows = [(i, "".join(rng.choices("aabbcc 12x_\n", k=rng.randint(0, 300)))) for i in range(80)] + [(100, None), (101, ""), (102, "ab" * 400 + " c")]
+    df = spark.createDataFrame(rows, "id long, text string").withColumn("piece", F.lit("x"))
+    want = {r.id: r.n_tokens for r in tokens.count_tokens(df, MERGES).collect()}
+    assert {r.id: r.n_tokens for r in tokens.count_pieces(df, MERGES).collect()} == want and len(want) == 83
+    assert tokens.count_pieces(df.limit(0), MERGES).count() == 0
+
+
 def best_fill(items, room):
     sums = {0}
     for x in items:
@@ -117,6 +126,26 @@ def test_choose_meets_the_budget(window):
         assert budget - 200 < passes * total + int((lengths * extra).sum()) <= budget
 
 
+@pytest.mark.parametrize("scale", [1, 50])
+def test_long_documents_fill_the_budget(scale):
+    """Of 3.0 and 4.9 million characters, 4.9 fit into 5.0; also beyond the width of the knapsack."""
+    passes, extra = mixing.choose(np.array([3_000_000 * scale, 4_900_000 * scale]), np.array([1, 1]), 5_000_000 * scale, 1)
+    assert passes == 0 and extra.tolist() == [0, 1]
+
+
+def test_small_knapsacks_are_exact():
+    rng = random.Random(8)
+    for _ in range(60):
+        lengths = np.array(sorted({rng.randint(1, 40) for _ in range(6)}))
+        counts = np.array([rng.randint(1, 2) for _ in lengths])
+        budget = rng.randint(1, int((lengths * counts).sum()))
+        want = best_fill([x for x, n in zip(lengths.tolist(), counts.tolist(), strict=True) for _ in range(n)], budget)
+        for exact in (10**6, 0):
+            passes, extra = mixing.choose(lengths, counts, budget, 3, 10, exact)
+            got = passes * int((lengths * counts).sum()) + int((lengths * extra).sum())
+            assert got == want or exact == 0 and counts.sum() > mixing.FEW
+
+
 def test_mix(spark):
     rng = random.Random(4)
     rows = [(i, "x" * rng.randint(1, 40), rng.choice(["A", " a", "B", "b ", None, "other"])) for i in range(900)] + [(0, "x" * 20, "A"), (1000, None, "A"), (1001, "", "B"), (None, "x", "A")]
