@@ -11,6 +11,7 @@ kinds of ratings every text scores 0; extra columns are ignored; an empty table
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from itertools import groupby
 
 import numpy as np
@@ -31,8 +32,8 @@ ORDERS = (3, 4, 5)
 BITS = 18
 #: Longest passage; a longer one is cut.
 PASSAGE = 400
-#: Least log-odds from which a text counts as bad: passages of bad texts were chosen as extremes, so 0 would be too near the others.
-LEAST_MARGIN = 3.0
+#: Least log-odds from which a text counts as bad.
+LEAST_MARGIN = 0.0
 #: Characters that are scored at once.
 SLICE = 1_500_000
 #: Texts rated as bad, other rated texts and characters that the classifier is fitted on at the most.
@@ -109,6 +110,10 @@ def grams(codes: np.ndarray) -> list[np.ndarray]:
     return found
 
 
+#: A classifier that finds nothing bad.
+NOTHING = (np.zeros((len(ORDERS), 1 << BITS), np.float32), -20.0)
+
+
 def passage_scores(codes: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Sum of the weights of each passage's n-grams, over the root of its length."""
     total = np.zeros(len(codes), np.float32)
@@ -142,16 +147,16 @@ def _logistic(flat: np.ndarray, row: np.ndarray, scale: np.ndarray, label: np.nd
     return beta * ratio, bias
 
 
-def cut(score: np.ndarray, owner: np.ndarray, bad: np.ndarray, texts: int) -> float:
-    """Log-odds between the two groups: 0.7 of the way from what 99 % of the other texts stay under to what 95 % of the bad ones pass.
+def cut(best: np.ndarray, bad: np.ndarray) -> float:
+    """Log-odds between the two groups: halfway from what 98 % of the other texts stay under to what 95 % of the bad ones pass.
 
-    The others far outnumber the bad texts, so the line stands nearer to these. Texts rated as bad whose worst passage is like those of others are wrong ratings and don't count.
+    The scores are those of each text's worst passage by a classifier that was fitted on other texts. Texts rated as bad whose worst passage is like those of others are wrong ratings and don't count.
     """
-    best = np.full(texts, -30.0)
-    np.maximum.at(best, owner, score)
-    others = max(0.0, float(np.quantile(best[~bad], 0.99)))
+    if bad.all() or not bad.any():
+        return LEAST_MARGIN
+    others = max(0.0, float(np.quantile(best[~bad], 0.98)))
     clear = best[bad & (best > max(others, LEAST_MARGIN))]
-    return max(LEAST_MARGIN, others + 0.7 * (float(np.quantile(clear, 0.05)) - others)) if len(clear) else LEAST_MARGIN
+    return max(LEAST_MARGIN, others + 0.5 * (float(np.quantile(clear, 0.05)) - others)) if len(clear) else LEAST_MARGIN
 
 
 def fit(texts: list[str], bad: np.ndarray, rounds: int = 3, steps: int = 30, ridge: float = 1e-5, smooth: float = 0.3, errors: float = 1.5) -> tuple[np.ndarray, float]:
@@ -164,7 +169,7 @@ def fit(texts: list[str], bad: np.ndarray, rounds: int = 3, steps: int = 30, rid
     size = 1 << BITS
     width = size * len(ORDERS)
     if not bad.any() or bad.all():
-        return np.zeros((len(ORDERS), size), np.float32), -20.0
+        return NOTHING
     step = 200
 
     def read(begin: int) -> tuple[np.ndarray, ...]:
@@ -223,7 +228,16 @@ def fit(texts: list[str], bad: np.ndarray, rounds: int = 3, steps: int = 30, rid
         score = np.bincount(row, weights=weights[flat], minlength=len(owner)) * scale + bias
     out = np.zeros(width, np.float32)
     out[seen] = weights
-    return out.reshape(len(ORDERS), size), float(bias) - cut(score, owner, bad, len(texts))
+    return out.reshape(len(ORDERS), size), float(bias)
+
+
+def worst(texts: list[str], weights: np.ndarray, bias: float, step: int = 200) -> np.ndarray:
+    """The log-odds of the worst passage of each text."""
+    best = np.full(len(texts), -30.0)
+    for begin in range(0, len(texts), step):
+        codes, starts, owner = passages(texts[begin : begin + step])
+        np.maximum.at(best, begin + owner, passage_scores(codes, starts, weights) + bias)
+    return best
 
 
 def sliced(text: str | None) -> list[str]:
@@ -246,29 +260,47 @@ def ratings(labels: DataFrame) -> DataFrame:
 
 
 def train(records: DataFrame, labels: DataFrame, most_bad: int = MOST_BAD, most_other: int = MOST_OTHER, most_chars: int = MOST_CHARS) -> tuple[np.ndarray, float]:
-    """The classifier, fitted in one task on a seeded sample of the rated texts, bounded by the three numbers."""
+    """The classifier, fitted in one task on a seeded sample of the rated texts, bounded by the three numbers.
+
+    Beside it two more tasks fit on one half of the sample each and score the other: these scores set the line between bad and other texts.
+    """
     order = F.xxhash64(F.lit(3), "id")
     rated = ratings(labels)
     some = [rated.where(F.col("bad") == b).orderBy(order, "id").limit(n) for b, n in ((True, most_bad), (False, most_other))]
     chosen = F.broadcast(some[0].unionByName(some[1]))
     known = keyed(records).where(F.col("id").isNotNull() & (F.length("text") > 0)).join(chosen, "id").dropDuplicates(["id"])
-    sample = materialise(known, "rated")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, bad, held = [], [], 0
-        for batch in batches:
-            for text, b in zip(values(batch, "text"), values(batch, "bad"), strict=True):
-                if held + len(text) <= most_chars:
-                    texts.append(text)
-                    bad.append(b)
-                    held += len(text)
-        weights, bias = fit(texts, np.array(bad, bool)) if texts else (np.zeros((len(ORDERS), 1 << BITS), np.float32), -20.0)
-        yield pa.RecordBatch.from_arrays([pa.array([weights.tobytes()], pa.binary()), pa.array([bias])], names=["weights", "bias"])
-
-    row = sample.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(5), "id"), "id").mapInArrow(run, "weights binary, bias double").first()
-    if row is None:
-        return np.zeros((len(ORDERS), 1 << BITS), np.float32), -20.0
-    return np.frombuffer(row.weights, np.float32).reshape(len(ORDERS), -1), row.bias
+    sample = materialise(known.withColumn("half", F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(2)).cast("int")), "rated")
+
+    def fitting(held: int | None):
+        """Fits on the texts outside a half, and scores those of it; without one, fits on all."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            texts, bad, half, chars = [], [], [], 0
+            for batch in batches:
+                for text, b, h in zip(*(values(batch, c) for c in ("text", "bad", "half")), strict=True):
+                    if chars + len(text) <= most_chars:
+                        texts.append(text)
+                        bad.append(b)
+                        half.append(h)
+                        chars += len(text)
+            inside = [h != held for h in half]
+            weights, bias = fit([t for t, i in zip(texts, inside, strict=True) if i], np.array(bad, bool)[np.array(inside, bool)]) if any(inside) else NOTHING
+            others = [t for t, i in zip(texts, inside, strict=True) if not i]
+            best = worst(others, weights, bias)
+            of = [b for b, i in zip(bad, inside, strict=True) if not i]
+            columns = [pa.array([weights.tobytes() if held is None else b""], pa.binary()), pa.array([bias]), pa.array([best.tolist()], pa.list_(pa.float64())), pa.array([of], pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["weights", "bias", "best", "bad"])
+
+        return run
+
+    ordered = sample.repartition(1).sortWithinPartitions(F.xxhash64(F.lit(5), "id"), "id")
+    with ThreadPoolExecutor(3) as pool:
+        whole, *halves = pool.map(lambda held: ordered.mapInArrow(fitting(held), "weights binary, bias double, best array<double>, bad array<boolean>").first(), (None, 0, 1))
+    if whole is None:
+        return NOTHING
+    rows = [r for r in halves if r is not None]
+    best, bad = (np.array([x for r in rows for x in r[c]], kind) for c, kind in (("best", float), ("bad", bool)))
+    return np.frombuffer(whole.weights, np.float32).reshape(len(ORDERS), -1), whole.bias - cut(best, bad)
 
 
 def score(records: DataFrame, model: tuple[np.ndarray, float], others: list[str] = ()) -> DataFrame:
