@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.answers import extract_answer
@@ -21,6 +23,18 @@ def reward(answer: Column, right: Column, correct: float = 1.0, incorrect: float
     return F.when(answer.isNull(), F.lit(no_answer)).when(right, F.lit(correct)).otherwise(F.lit(incorrect))
 
 
+def reward_function(spark: SparkSession, correct: float = 1.0, incorrect: float = -1.0, no_answer: float = -1.0) -> Callable[[list, list[str]], list[float]]:
+    """What a trainer calls with a batch of completions (strings, or lists of messages) and as many gold answers: their rewards, in order."""
+
+    def call(completions: list, answer: list[str]) -> list[float]:
+        texts = [c if c is None or isinstance(c, str) else (c[-1].get("content") or "") if c else "" for c in completions]
+        rows = spark.createDataFrame([(i, t, a) for i, (t, a) in enumerate(zip(texts, answer, strict=True))], "i int, completion string, gold string")
+        found = grade(rows, "completion", "gold").select("i", reward(F.col("answer"), F.col("is_correct"), correct, incorrect, no_answer).alias("reward"))
+        return [r.reward for r in found.orderBy("i").collect()]
+
+    return call
+
+
 def completion_text(column: Column, nested: bool) -> Column:
     """The text of a completion that is a string, or the content of the last of its messages ('' without one)."""
     return F.coalesce(F.try_element_at(column, F.lit(-1))["content"], F.lit("")) if nested else column

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def salted_rank(df: DataFrame, keys: list[str], order: Column, tie: list[str], name: str, buckets: int = 64) -> DataFrame:
+def salted_rank(df: DataFrame, keys: list[str], order: Column, tie: list[str], name: str, buckets: int | None = None) -> DataFrame:
     """Adds `name`: the 1-based position of a row in its group, in the order of `order` (a long that spreads evenly) and `tie`.
 
-    A group is cut into `buckets` ranges of `order`, so that a hot group is sorted by many tasks; the position inside a
-    range is added to the number of rows in the ranges before it, which come from a table of at most groups x buckets rows.
+    A group is cut into `buckets` ranges of `order` (by default twice the shuffle partitions, 64 at the least), so that a hot group is sorted by
+    many tasks; the position inside a range is added to the number of rows in the ranges before it, which come from a table of at most
+    groups x buckets rows.
     """
+    buckets = buckets or max(64, 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     width = 2**63 // buckets
     tagged = df.withColumn("_order", order).withColumn("_range", F.floor(F.shiftrightunsigned("_order", 1) / F.lit(float(width))).cast("int"))
     tagged = tagged.withColumn("_order", F.shiftrightunsigned("_order", 1))

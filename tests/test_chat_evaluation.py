@@ -37,6 +37,11 @@ def test_tasks_and_nested_turns(spark):
     assert found == {1: [(None, "a"), ("user", "b")], 2: [("user", None)]}
 
 
+def test_reward_function(spark):
+    rewards = G.reward_function(spark, no_answer=-0.5)
+    assert rewards(["so \\boxed{5}", [{"role": "assistant", "content": "#### 6"}], "nothing", [], None], ["5", "5", "5", "5", "5"]) == [1.0, -1.0, -0.5, -0.5, -0.5]
+
+
 def samples(spark):
     rows = [("m", 1, 0, False, 1), ("m", 1, 1, True, 1), ("m", 2, 0, False, None), ("m", 2, 1, False, None), ("n", 1, 0, True, 1), ("n", 2, 0, True, None), ("m", 3, 0, None, 2)]
     return spark.createDataFrame(rows, "model string, eval_id int, sample_idx int, correct boolean, level int")
