@@ -27,7 +27,9 @@ from millrace.llm.text import distinct_shingles, remix
 from millrace.sizing import broadcast_if_small
 from millrace.storage import materialise
 
-SKETCHES = "id long, class long, check long, n int, registers binary"
+SKETCHES = "id long, class long, check long, n int, registers binary, least array<long>"
+#: Sets of up to so many shingles are compared exactly with all that could be like them; their registers depend on each other too much.
+SMALL = 12
 #: Members from which a band is hot, and members compared with each other by one task at a time.
 HOT = 200
 
@@ -38,7 +40,7 @@ def _signature(hashes: np.ndarray, starts: np.ndarray, seed: int) -> np.ndarray:
     return remix((total[starts[1:]] - total[starts[:-1]]) ^ np.diff(starts).astype(np.uint64)).view(np.int64)
 
 
-def _sketch_scan(size: int, buckets: int):
+def _sketch_scan(size: int, buckets: int, threshold: float):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             hashes, starts = distinct_shingles(values(batch, "text"), size)
@@ -46,17 +48,21 @@ def _sketch_scan(size: int, buckets: int):
             keep = np.flatnonzero(count > 0)
             registers = hmh.sketch(hashes, starts, buckets)[keep]
             ids = batch.column(0).take(pa.array(keep))
+            # Two sets as like as the threshold share one of each other's least hashes, as many as the other cannot lack.
+            width = np.where(count <= SMALL / threshold, count - np.ceil(count * threshold - 1e-9).astype(np.int64) + 1, 0)[keep]
+            at = np.repeat(starts[keep] - np.cumsum(width) + width, width) + np.arange(width.sum())
+            least = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(width))).astype(np.int32)), pa.array(hashes[at].view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [ids, *(pa.array(_signature(hashes, starts, x)[keep]) for x in (0x2545F4914F6CDD1D, 0x61C8864680B583EB)), pa.array(count[keep].astype(np.int32)), pa.array([r.tobytes() for r in registers], pa.binary())],
-                names=["id", "class", "check", "n", "registers"],
+                [ids, *(pa.array(_signature(hashes, starts, x)[keep]) for x in (0x2545F4914F6CDD1D, 0x61C8864680B583EB)), pa.array(count[keep].astype(np.int32)), pa.array([r.tobytes() for r in registers], pa.binary()), least],
+                names=["id", "class", "check", "n", "registers", "least"],
             )
 
     return scan
 
 
-def sketches(records: DataFrame, size: int, buckets: int) -> DataFrame:
-    """One row for each record with a shingle: its id, class of equal shingle sets (128 bits in two columns), number of shingles and registers."""
-    return records.where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_sketch_scan(size, buckets), SKETCHES)
+def sketches(records: DataFrame, size: int, buckets: int, threshold: float) -> DataFrame:
+    """One row for each record with a shingle: its id, class of equal shingle sets (128 bits in two columns), number of shingles, registers, and the least hashes of a small set."""
+    return records.where(F.col("id").isNotNull() & F.col("text").isNotNull()).mapInArrow(_sketch_scan(size, buckets, threshold), SKETCHES)
 
 
 def _estimates(buckets: int):
@@ -67,6 +73,7 @@ def _estimates(buckets: int):
             a, b = (np.frombuffer(b"".join(values(batch, c)), np.uint16).reshape(-1, buckets) for c in ("registers_a", "registers_b"))
             n_a, n_b = (np.array(values(batch, c)) for c in ("n_a", "n_b"))
             found = hmh.corrected_jaccard((a == b).sum(axis=1), n_a, n_b, buckets)
+            found[np.minimum(n_a, n_b) <= SMALL] = 1.0
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found)], names=["a", "b", "estimate"])
 
     return estimate
@@ -89,7 +96,7 @@ class Prepared:
         self.size, self.threshold, self.buckets = size, threshold, bands * rows
         self.margin = slack * (threshold * (1 - threshold) / self.buckets) ** 0.5
         self.records = keyed(records)
-        table = materialise(sketches(self.records, size, self.buckets), "sketches")
+        table = materialise(sketches(self.records, size, self.buckets, threshold), "sketches")
         # Registers stay where they are: repeated ids and copies are found by narrow columns.
         versions = materialise(table.groupBy("id").agg(F.min(F.struct("class", "check")).alias("set"), F.max(F.struct("class", "check")).alias("other")), "versions")
         known = versions.select("id", "set.class", "set.check")
@@ -101,7 +108,8 @@ class Prepared:
         self.reps = reps.join(broadcast_if_small(stale), "id", "left").where("kept IS NULL OR class = kept").drop("kept")
         width = 2 * rows
         keys = F.array(*[F.xxhash64(F.lit(i), F.substring("registers", width * i + 1, width)) for i in range(bands)])
-        banded = self.reps.select("id", F.explode(keys).alias("key"))
+        least = F.transform("least", lambda x: F.xxhash64(F.lit(-1), x))
+        banded = self.reps.select("id", F.explode(F.concat(keys, least)).alias("key"))
         counts = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         self.shared = materialise(banded.join(counts, "key").distinct(), "bands")
 
@@ -172,7 +180,7 @@ def links(
 
     A pair of Jaccard similarity s shares a band with probability 1 - (1 - s ** rows) ** bands: with 48 bands of 4 rows
     0.955 at 0.5, 0.999 at 0.6. A candidate is compared exactly unless its estimate lies `slack` standard errors under the
-    threshold. Records of one shingle set enter the bands once, so copies make no pairs however many they are.
+    threshold. Sets of up to SMALL shingles are also joined by their least hashes and compared exactly in any case. Records of one shingle set enter the bands once, so copies make no pairs however many they are.
     """
     ready = Prepared(records, size, threshold, bands, rows, slack)
     return ready.members, ready.verified(ready.cold().unionByName(ready.hot()))

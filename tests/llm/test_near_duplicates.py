@@ -92,6 +92,15 @@ def test_hot_bands(spark, monkeypatch):
     assert few < 0.7 * ready.cold().unionByName(ready.hot()).distinct().count()
 
 
+def test_small_sets_lose_no_pair(spark):
+    rng = random.Random(2)
+    held = {i: " ".join(rng.choices([f"w{k}" for k in range(9)], k=rng.randint(3, 14))) for i in range(220)}
+    df = spark.createDataFrame(list(held.items()), "id long, text string")
+    got = {(r.id_a, r.id_b) for r in nd.pairs(*nd.links(df, size=3, threshold=0.5)).collect()}
+    want = {(a, b) for a in held for b in held if a < b and overlap(held[a], held[b]) >= 0.5}
+    assert got == want and len(want) > 15
+
+
 def test_repeated_ids_with_other_texts(spark):
     a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
     df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b)], "id long, text string")
