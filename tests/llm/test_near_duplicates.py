@@ -94,7 +94,11 @@ def test_hot_bands(spark, monkeypatch):
 
 def test_small_sets_lose_no_pair(spark):
     rng = random.Random(2)
-    held = {i: " ".join(rng.choices([f"w{k}" for k in range(9)], k=rng.randint(3, 14))) for i in range(220)}
+    held = {}
+    for i in range(120):  # each text beside one whose first or last word is another, or that lacks it
+        w = [f"w{rng.randrange(300)}" for _ in range(rng.randint(3, 14))]
+        held[2 * i] = " ".join(w)
+        held[2 * i + 1] = " ".join(rng.choice([w[1:], w[:-1], ["x", *w[1:]], [*w[:-1], "x"], [*w, f"y{i}"]]))
     df = spark.createDataFrame(list(held.items()), "id long, text string")
     got = {(r.id_a, r.id_b) for r in nd.pairs(*nd.links(df, size=3, threshold=0.5)).collect()}
     want = {(a, b) for a in held for b in held if a < b and overlap(held[a], held[b]) >= 0.5}
