@@ -39,9 +39,14 @@ def _scan(rest: Column) -> Column:
     return F.when(end > 0, F.substring(rest, F.lit(1), end - 1))
 
 
-def _closed(inside: Column) -> Column:
+def inside_box(inside: Column) -> Column:
+    """Text before the brace that closes the one just before `inside`; null if none does."""
     quick = F.regexp_extract(inside, "^(" + _balanced(REGEX_DEPTH) + r")\}", 0)
-    return let(quick, lambda q: strip(F.when(q != "", F.substring(q, F.lit(1), F.length(q) - 1)).otherwise(_scan(inside))))
+    return let(quick, lambda q: F.when(q != "", F.substring(q, F.lit(1), F.length(q) - 1)).otherwise(_scan(inside)))
+
+
+def _closed(inside: Column) -> Column:
+    return strip(inside_box(inside))
 
 
 def _box(text: Column, marker: str) -> Column:

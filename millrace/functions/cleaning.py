@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.strings import strip
+from millrace.functions.answers import inside_box
+from millrace.functions.strings import let, strip
 
 # Marks of a leaked chat turn.
 LEAKS = ("<|im_end|>", "<|im_start|>", "\nassistant", "\nuser", "\nsystem")
@@ -38,8 +39,11 @@ def chunks(text: Column, size: int) -> Column:
     return F.when(F.length(text) > 0, F.transform(starts, lambda i: F.substring(text, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def truncate_at_box(text: Column) -> Column:
-    """Text up to the first closing brace after the first box, where a generator that waits for it would stop."""
+def truncate_at_box(text: Column, balanced: bool = False) -> Column:
+    """Text up to the first closing brace after the first box, where a generator that waits for it would stop; or to the brace that closes the box."""
     box = F.instr(text, BOX)
+    if balanced:
+        content = let(F.substring(text, box + len(BOX), F.length(text)), inside_box)
+        return F.when(box > 0, let(content, lambda c: F.when(c.isNotNull(), F.substring(text, F.lit(1), box + len(BOX) + F.length(c))).otherwise(text))).otherwise(text)
     end = F.instr(F.substring(text, box + len(BOX), F.length(text)), "}")
     return F.when((box > 0) & (end > 0), F.substring(text, F.lit(1), box + len(BOX) + end - 1)).otherwise(text)

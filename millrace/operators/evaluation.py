@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,6 +68,12 @@ def report(df: DataFrame, task: str, level: str = "level", right: str = "correct
     return rows.select(task, "n", "correct", "accuracy", F.to_json(whole, {"ignoreNullFields": "false"}).alias("report"))
 
 
+def bits_per_byte(df: DataFrame, by: list[str], loss: str, tokens: str, text: str) -> DataFrame:
+    """`bits_per_byte` and `perplexity` of texts by group, from the summed loss (in nats) and the number of tokens of each; null without bytes or tokens."""
+    total, size = F.sum(F.col(loss).cast("double")), F.sum(F.octet_length(F.encode(text, "UTF-8")).cast("double"))
+    return df.groupBy(*by).agg(F.try_divide(total, size * F.lit(math.log(2))).alias("bits_per_byte"), F.exp(F.try_divide(total, F.sum(F.col(tokens).cast("double")))).alias("perplexity"))
+
+
 def model_diff(df: DataFrame, group: str, a: str, b: str, problem: str, right: str = "correct") -> DataFrame:
     """Problems that a fails in all samples and b solves in one."""
     solved = df.where(F.col(group).isin(a, b)).groupBy(problem).agg(

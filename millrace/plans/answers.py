@@ -180,10 +180,14 @@ def truncate_at_box(spark: SparkSession, sf: str) -> DataFrame:
     return _completions(spark, sf).select("record_id", X.truncate_at_box(F.col("completion")).alias("text")).distinct()
 
 
+def truncate_balanced(spark: SparkSession, sf: str) -> DataFrame:
+    return _completions(spark, sf).select("record_id", X.truncate_at_box(F.col("completion"), balanced=True).alias("text")).distinct()
+
+
 QUERIES = [
     last_boxed, marker_answer, phrase_answer, trailing_equation, last_number, extract_answer, extractable_rate, drop_unextractable, normalise_answer, thousands_commas, to_number,
     numeric_equal, answers_equivalent, symbolic_open, is_correct, math_reward, reward_batch, agreement_rate, arith_normalise, arith_candidate, safe_arith, check_arithmetic,
-    arith_errors, corrected_answer, solve_result, clean_solution, chunk_text, truncate_at_box,
+    arith_errors, corrected_answer, solve_result, clean_solution, chunk_text, truncate_at_box, truncate_balanced,
 ]
 
 _REPLIES = f"replies AS (SELECT sft_id, {Q.source('source')} AS source, {Q.turn('messages', 'assistant')} AS reply FROM {Q.CHATS})"
@@ -260,5 +264,6 @@ ORACLES = {
         FROM said JOIN answers USING (record_id) LEFT JOIN fixed USING (record_id) LEFT JOIN counted USING (record_id)""",
     "clean_solution": f"SELECT record_id, {Q.clean('completion')} AS solution FROM {Q.RECORDS}",
     "chunk_text": f"SELECT record_id, (i // {CHUNK})::INTEGER AS piece_no, substring(completion, (i + 1)::BIGINT, {CHUNK}) AS piece FROM (SELECT record_id, completion, unnest(range(0, length(completion), {CHUNK})) AS i FROM {Q.RECORDS})",
+    "truncate_balanced": rf"SELECT record_id, CASE WHEN regexp_matches(completion, '{Q.FIRST_BOX}') THEN regexp_extract(completion, '{Q.FIRST_BOX}') ELSE completion END AS text FROM {Q.RECORDS}",
     "truncate_at_box": rf"SELECT record_id, CASE WHEN regexp_matches(completion, '\\boxed\{{[^}}]*\}}') THEN regexp_extract(completion, '(?s)^.*?\\boxed\{{[^}}]*\}}') ELSE completion END AS text FROM {Q.RECORDS}",
 }

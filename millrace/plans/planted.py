@@ -9,6 +9,7 @@ from millrace.functions import arithmetic as M
 from millrace.functions import comparison as N
 from millrace.functions.answers import extract_answer
 from millrace.functions.symbolic import with_comparison, with_equivalence
+from millrace.operators import evaluation as E
 from millrace.operators import grading as G
 from millrace.tables import table
 
@@ -122,7 +123,14 @@ def planted_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return _variants(_numbers(spark, sf), forms).select("eval_id", "kind", N.to_number(F.col("text")).alias("value"))
 
 
-QUERIES = [planted_arith, planted_checks, planted_equivalent, planted_reward, planted_numbers, symbolic_equal]
+def planted_bits(spark: SparkSession, sf: str) -> DataFrame:
+    """Bits per byte and perplexity by task, with planted losses: a tenth of `a` for each of `b` tokens."""
+    rows = table(spark, sf, "eval_row").selectExpr("task", "problem", *[f"{sql} AS {name}" for name, sql in NUMBERS.items()]).withColumn("loss", F.expr("a * b / 10.0D"))
+    found = E.bits_per_byte(rows, ["task"], "loss", "b", "problem")
+    return found.select("task", F.round("bits_per_byte", 9).alias("bits_per_byte"), F.round("perplexity", 6).alias("perplexity"))
+
+
+QUERIES = [planted_arith, planted_checks, planted_equivalent, planted_reward, planted_numbers, planted_bits, symbolic_equal]
 
 
 def _kinds(n: int) -> str:
@@ -137,5 +145,7 @@ ORACLES = {
     "planted_reward": f"""WITH {_ROWS}, {_kinds(len(ANSWERS))} SELECT eval_id, kind, CASE WHEN {_cases([v for *_, v in ANSWERS])} THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS reward FROM rows, kinds
         UNION ALL SELECT eval_id, kind + 100, -1.5::DOUBLE FROM rows, kinds""",
     "planted_numbers": f"WITH {_ROWS}, {_kinds(10)} SELECT eval_id, kind, {_cases(['a::DOUBLE', '-(a + 0.5::DOUBLE)', 'a::DOUBLE / b', 'a::DOUBLE / b', 'a::DOUBLE', 'NULL', 'NULL', '(100 + a)::DOUBLE', 'NULL', 'a::DOUBLE / 100'])} AS value FROM rows, kinds",
+    "planted_bits": f"""WITH rows AS (SELECT task, strlen(problem) AS size, {_SELECT} FROM eval_row)
+        SELECT task, round(sum(a * b / 10.0::DOUBLE) / ln(2) / sum(size), 9) AS bits_per_byte, round(exp(sum(a * b / 10.0::DOUBLE) / sum(b)), 6) AS perplexity FROM rows GROUP BY task""",
     "symbolic_equal": f"WITH {_ROWS}, {_kinds(len(SYMBOLIC))} SELECT eval_id, kind, {_cases([v for *_, v in SYMBOLIC])} AS equal FROM rows, kinds",
 }

@@ -34,6 +34,10 @@ def boxed(x: str) -> str:
     return f"coalesce({', '.join(found)})"
 
 
+#: A text to the end of its first box, of up to three braces inside each other.
+FIRST_BOX = r"(?s)^.*?\\boxed\{(?:[^{}]|\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\})*\}"
+
+
 def marker(x: str) -> str:
     return rf"nullif(regexp_extract({x}, '####{W}*(-?[0-9][0-9,.]*)', 1), '')"
 

@@ -72,6 +72,13 @@ def test_advantages_sum_to_nothing(spark):
     assert (flat.n_groups, flat.n_flat) == (3, 1)
 
 
+def test_bits_per_byte(spark):
+    df = spark.createDataFrame([("a", 8.0, 4, "é"), ("a", 8.0, 4, "ab"), ("b", 1.0, 0, ""), ("b", None, None, None)], "g string, loss double, n int, t string")
+    found = {r.g: r for r in E.bits_per_byte(df, ["g"], "loss", "n", "t").collect()}
+    assert found["a"].bits_per_byte == pytest.approx(16 / 0.6931471805599453 / 4) and found["a"].perplexity == pytest.approx(7.38905609893065)
+    assert found["b"].bits_per_byte is None and found["b"].perplexity is None
+
+
 def test_expand(spark):
     assert E.expand_k(spark.range(3), 4).count() == 12
     with pytest.raises(ValueError):

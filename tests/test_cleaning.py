@@ -31,3 +31,14 @@ def test_chunks(spark):
 def test_truncate_at_box(spark):
     assert one(spark, r"a \boxed{\frac{1}{2}} b", X.truncate_at_box) == r"a \boxed{\frac{1}"
     assert one(spark, r"\boxed{1", X.truncate_at_box) == r"\boxed{1"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (r"a \boxed{\frac{1}{2}} b", r"a \boxed{\frac{1}{2}}"), (r"\boxed{1", r"\boxed{1"), ("none", "none"), (None, None), ("", ""), (r"\boxed{}x", r"\boxed{}"),
+        (r"\boxed{" + "{" * 9 + "}" * 9 + "} more", r"\boxed{" + "{" * 9 + "}" * 9 + "}"),
+    ],
+)
+def test_truncate_at_the_brace_that_closes_the_box(spark, text, want):
+    assert one(spark, text, lambda c: X.truncate_at_box(c, balanced=True)) == want
