@@ -27,7 +27,7 @@ HITS = "id long, codes array<int>, places array<int>, words array<int>, cuts arr
 #: Words between two shared shingles that still belong to one passage, and words kept on each side of it.
 GAP, PAD = 30, 8
 #: A shingle found in so many texts, or in a thousandth of those with any hit, is rare: it leads to an alignment by itself.
-RARE = 100
+RARE = 10
 #: Alignment scores of a word.
 MATCH, MISMATCH, SPACE = 2, -1, 1
 #: Cells of an alignment table row, over all pairs, held at once.
